@@ -161,8 +161,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def sequence_hash(words: np.ndarray) -> int:
-    """One hash of a whole sequence of fewer words than an n-gram has."""
-    total = np.uint64(len(words)) * _ROLL[255]
-    for i, w in enumerate(words):
-        total = total + w * _ROLL[i % 200]
-    return int(_mix(np.array([total], np.uint64))[0])
+    """One hash of a whole sequence of words."""
+    n = len(words)
+    total = (words * _ROLL[np.arange(n) % 200] * _POWERS[np.arange(n) // 200 % 4096]).sum(dtype=np.uint64)
+    return int(_mix(np.array([total], np.uint64) + np.array([n], np.uint64) * _ROLL[255:256])[0])

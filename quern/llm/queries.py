@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, topk
+from . import media, mixing, near_dedup, packing, topk
 from .common import load
 
 
+def op1_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
@@ -36,7 +40,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {"op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op10_media": op10_media}
+    return {"op1_near_dedup": op1_near_dedup, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict:
