@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dedup, packing, topk
+from . import media, mixing, near_dedup, packing, substring_dedup, topk
 from .common import load
 
 
@@ -24,6 +24,11 @@ def op8_packing(spark, sf_dir):
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op9_substrings(spark, sf_dir):
+    kept = substring_dedup.deduplicate(load(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_media(spark, sf_dir):
     return media.document_media(load(spark, sf_dir, "documents"))
 
@@ -40,7 +45,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op10_media": op10_media}
+    return {"op1_near_dedup": op1_near_dedup, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict:
