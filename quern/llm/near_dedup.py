@@ -4,13 +4,14 @@ One hash function gives each distinct 5-word shingle a value; a document's sketc
 values. Documents with equal shingle sets are one node. Inverted lists of the retained values propose
 pairs: of its values, rarest in the corpus first, a node enters the lists of only so many that two
 similar nodes must meet in one (two sets of similarity 0.75 share, of the SKETCH smallest values of their
-union, at least LEAST but for a chance below 1e-8). A list first compares its members with one of like
-size; lists whose members are then not all connected compare the members of different components in
-bounded blocks. Pairs pass if their union sketch allows the similarity, and link if their full sets
-have it.
+union, at least LEAST but for a chance below 1e-8). A list first compares its members with its hub, the
+one whose values are the most common; pairs pass if their union sketch allows the similarity, and link if
+their full sets have it. Lists that hold several components then still compare the members of different
+components, on their full sets: all lists of a hub together, in bounded blocks, which answer with links that
+join components and never with more rows than they have members.
 
-Nothing is capped: a list of any length is compared whole, in blocks, and a list whose members are
-already connected needs no further pairs.
+Nothing is capped: a list of any length is compared whole, and one whose members are already connected
+needs no further pairs.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; rows without a doc_id
 are linked with nothing, have a null component and are kept; repeated rows are one node; rows that
@@ -19,8 +20,6 @@ share a doc_id but not a text are nodes under one id.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,8 +34,8 @@ SKETCH = 64
 LEAST = 27
 #: Links have 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
-#: Members of a compared block, about.
-BLOCK = 1024
+#: Members and shingles of a compared block, about.
+BLOCK, BLOCK_SHINGLES = 1024, 1_500_000
 
 
 def shingle_sets(column):
@@ -97,51 +96,74 @@ def _union_sketch_allows() -> Column:
     return F.when(whole, exact).otherwise(common >= LEAST)
 
 
-def _compare_block(rows):
-    """Pairs of members of different components whose sketches share enough values; rows: one block, or two that meet."""
+def _links_in_block(rows):
+    """Links that join components, among the members of one block or two that meet, by their full sets."""
     import pandas as pd
 
-    n, comp, node, home = (rows[c].to_numpy() for c in ("n", "component", "node", "cell"))
-    value, at = np.unique(np.concatenate(rows["sketch"].to_list()), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in rows["sketch"]])
+    comp, node, home = (rows[c].to_numpy() for c in ("component", "node", "block"))
+    sets = [np.frombuffer(x, np.uint64) for x in rows["whole"]]
+    n = np.array([len(x) for x in sets], np.int64)
+    value, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), n)
     often = np.bincount(at, minlength=len(value)) > 1
     column = np.cumsum(often) - 1
     owner, at = owner[often[at]], column[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
     shared = np.zeros((len(rows), len(rows)), np.float32)
-    for a in range(0, int(often.sum()), 4096):
-        part = np.zeros((len(rows), 4096), np.float32)
-        inside = (at >= a) & (at < a + 4096)
-        part[owner[inside], at[inside] - a] = 1
+    for a in range(0, int(often.sum()), 2048):
+        part = np.zeros((len(rows), 2048), np.float32)
+        i, j = np.searchsorted(at, (a, a + 2048))
+        part[owner[i:j], at[i:j] - a] = 1
         shared += part @ part.T
-    need = np.where(n < 49, -(-n * SIMILAR // 100), LEAST)
-    ok = np.triu(shared >= np.maximum(need[:, None], need[None, :]), 1) & (comp[:, None] != comp[None, :])
-    ok &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * SIMILAR
+    union = n[:, None] + n[None, :] - shared
+    ok = np.triu((100 * shared >= SIMILAR * union) & (comp[:, None] != comp[None, :]), 1)
     if len(np.unique(home)) > 1:  # within one block its own group compares
         ok &= home[:, None] != home[None, :]
     i, j = np.nonzero(ok)
-    return pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    _, first = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])], 1), axis=0, return_index=True)
+    for k in first:
+        x, y = find(comp[i[k]]), find(comp[j[k]])
+        if x != y:
+            root[x] = y
+            out.append((node[i[k]], node[j[k]]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 class _Linker:
     def __init__(self, docs: DataFrame, nodes: DataFrame, scratch: Scratch):
         self.docs, self.nodes, self.scratch = docs, nodes, scratch
 
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) that the union sketch allows and whose full sets are similar."""
-        keep, nodes = self.scratch.keep, self.nodes
-        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
-        likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(_union_sketch_allows()).select("a", "b"), f"{name}-likely")
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        wanted = keep(wanted.join(nodes.select("node", "set_key"), "node"), f"{name}-wanted")
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """node, whole: the full sets of the wanted nodes, from their texts."""
+        wanted = self.scratch.keep(wanted.join(self.nodes.select("node", "set_key"), "node"), f"{name}-wanted")
 
-        def sets(batches):
+        def make(batches):
             for batch in batches:
                 out = [(k, s.tobytes()) for k, s in zip(batch.column("set_key").to_pylist(), shingle_sets(batch.column("text")), strict=True)]
                 right = [_key(np.frombuffer(s, np.uint64)) == k for k, s in out]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s for _, s in out], pa.binary())], ["node", "whole"]).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s for _, s in out], pa.binary())], ["node", "whole"]).filter(pa.array(right, pa.bool_()))
 
         texts = self.docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "set_key", "text")
-        sets_ = keep(texts.mapInArrow(sets, "node bigint, whole binary").dropDuplicates(["node"]), f"{name}-sets")
+        made = self.scratch.keep(texts.mapInArrow(make, "node bigint, whole binary"), f"{name}-sets")
+        self.scratch.drop(f"{name}-wanted")
+        # repeated rows have equal sets: one of each stays
+        return made.dropDuplicates(["node"])
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b) that the union sketch allows and whose full sets are similar."""
+        keep, nodes = self.scratch.keep, self.nodes
+        side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+        likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(_union_sketch_allows()).select("a", "b"), f"{name}-likely")
+        sets = self.sets(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), name)
 
         def similar(batches):
             for batch in batches:
@@ -152,9 +174,9 @@ class _Linker:
                     ok.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        side = lambda s: sets_.select(F.col("node").alias(s), F.col("whole").alias(f"whole_{s}"))
+        side = lambda s: sets.select(F.col("node").alias(s), F.col("whole").alias(f"whole_{s}"))
         links = keep(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(similar, "a bigint, b bigint"), f"{name}-links")
-        self.scratch.drop(f"{name}-likely", f"{name}-wanted", f"{name}-sets")
+        self.scratch.drop(f"{name}-likely", f"{name}-sets")
         return links
 
 
@@ -171,30 +193,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mine = values.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
     # a node's values that are in no other sketch are its rarest, so they use up that much of its prefix
     left = retained - _shared_least(F.col("n")) + 1 - (retained - F.size("values"))
-    listed = keep(mine.filter(left > 0).select("node", "n", F.explode(F.slice("values", F.lit(1), left)).alias("x")).select("node", "n", F.col("x.v").alias("v")), "lists")
+    common = F.aggregate("values", F.lit(0.0), lambda t, x: t + F.log(x["df"]))
+    listed = keep(mine.filter(left > 0).select("node", "n", common.alias("common"), F.explode(F.slice("values", F.lit(1), left)).alias("x")).select("node", "n", "common", F.col("x.v").alias("v")), "lists")
 
-    size_class = F.floor(F.log("n") / math.log(100 / SIMILAR))
-    hubs = listed.groupBy("v", size_class.alias("c")).agg(F.min("node").alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    stars = listed.withColumn("c", size_class).join(hubs, ["v", "c"]).filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = listed.groupBy("v").agg(F.max(F.struct("common", (-F.col("node")).alias("hub"), F.col("n").alias("hub_n"))).alias("x"), F.count("*").alias("m")).filter("m > 1")
+    members = keep(listed.join(hubs.select("v", "m", (-F.col("x.hub")).alias("hub"), "x.hub_n"), "v").select("v", "m", "node", "n", "hub", "hub_n"), "members")
+    scratch.drop("lists")
+    stars = members.filter((F.col("node") != F.col("hub")) & _possible(F.col("n"), F.col("hub_n"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     linker = _Linker(docs, nodes, scratch)
     links = linker.verified(stars, "stars")
     labels = components(links, scratch, "first")
 
-    labelled = listed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("v").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("m > 1 and x <> y").select("v", F.ceil(F.col("m") / BLOCK).cast("int").alias("wide"))
-    cell = F.col("c") * (1 << 20) + F.pmod(F.xxhash64("node"), F.col("wide"))
-    members = labelled.withColumn("c", size_class.cast("long")).join(open_, "v").withColumn("cell", cell)
-    # two classes apart, sizes rule a link out
-    other = F.flatten(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda b: (F.col("c") + d) * (1 << 20) + b)))
-    met = members.withColumn("other", F.explode(other)).select("v", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "node", "n", "component", "cell")
-    # groups of one component, and of members that met elsewhere only, have nothing to compare
-    worth = met.groupBy("v", "lo", "hi").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("cell").alias("p"), F.max("cell").alias("q")).filter("x <> y and (lo = hi or p <> q)").select("v", "lo", "hi")
-    met = met.join(worth, ["v", "lo", "hi"]).join(nodes.select("node", "sketch"), "node")
-    more = keep(met.groupBy("v", "lo", "hi").applyInPandas(_compare_block, "a bigint, b bigint").distinct(), "more")
-    if not more.isEmpty():
-        links = links.union(linker.verified(more, "blocks"))
-        labels = components(links, scratch, "second")
-    scratch.drop("lists", "more")
+    # lists of two are settled; longer ones are if their members are connected
+    labelled = members.filter("m > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
+    together = keep(labelled.join(open_, "v").select("hub", "node", "n", "component").distinct(), "together")
+    wide = together.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("wide"))
+    met = together.join(wide, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("wide")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "component", "block")
+    # blocks of one component have nothing to compare
+    worth = met.groupBy("hub", "lo", "hi").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub", "lo", "hi")
+    met = keep(met.join(worth, ["hub", "lo", "hi"]), "met")
+    scratch.drop("members", "together")
+    if not met.isEmpty():
+        sets = linker.sets(met.select("node").distinct(), "blocks")
+        more = met.join(sets, "node").groupBy("hub", "lo", "hi").applyInPandas(_links_in_block, "a bigint, b bigint")
+        labels = components(links.union(keep(more, "more")), scratch, "second")
+    scratch.drop("met", "blocks-sets", "stars-links", "more")
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     out = made.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.coalesce("c", "doc_id")
