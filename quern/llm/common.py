@@ -13,7 +13,7 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: A word, for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Texts are hashed in blocks of about so many bytes, which bounds the memory of one step.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
