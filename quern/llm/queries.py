@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dedup, packing, substring_dedup, topk, toxicity
+from . import media, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk, toxicity
 from .common import load
 
 
@@ -12,6 +12,14 @@ def op1_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.digest(load(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark, sf_dir):
+    return secrets.digest(load(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     machine = toxicity.train(docs, load(spark, sf_dir, "labels"))
@@ -51,7 +59,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup, "op4_toxicity": op4_toxicity, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media}
+    return {"op1_near_dedup": op1_near_dedup, "op2_pii": op2_pii, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict:
