@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import media, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk, toxicity
+from . import html_extract, media, mixing, near_dedup, packing, pii, secrets, substring_dedup, topk, toxicity
 from .common import load
 
 
@@ -30,6 +30,10 @@ def op5_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
+def op6_html(spark, sf_dir):
+    return html_extract.main_texts(load(spark, sf_dir, "pages"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix(load(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def queries() -> dict:
-    return {"op1_near_dedup": op1_near_dedup, "op2_pii": op2_pii, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_topk": op5_topk, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media}
+    return {"op1_near_dedup": op1_near_dedup, "op2_pii": op2_pii, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_topk": op5_topk, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media}
 
 
 def oracle_sql() -> dict:
