@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bloom
 from .common import Scratch, Words, blocks, ngram_hashes, sequence_hash, text_buffers
 from .components import components
 
@@ -146,14 +147,18 @@ class _Linker:
         """node, whole: the full sets of the wanted nodes, from their texts."""
         wanted = self.scratch.keep(wanted.join(self.nodes.select("node", "set_key"), "node"), f"{name}-wanted")
 
+        # the filter spares shuffling texts; the join decides which sets are wanted
+        maybe = self.docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("node").alias("h")), "h"))
+
         def make(batches):
             for batch in batches:
-                out = [(k, s.tobytes()) for k, s in zip(batch.column("set_key").to_pylist(), shingle_sets(batch.column("text")), strict=True)]
-                right = [_key(np.frombuffer(s, np.uint64)) == k for k, s in out]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s for _, s in out], pa.binary())], ["node", "whole"]).filter(pa.array(right, pa.bool_()))
+                batch = batch.filter(pa.array(maybe.value.has(np.asarray(batch.column("h"), np.int64).view(np.uint64))))
+                out = [(_key(s), s.tobytes()) for s in shingle_sets(batch.column("text"))]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([k for k, _ in out], pa.binary()), pa.array([s for _, s in out], pa.binary())], ["node", "set_key", "whole"])
 
-        texts = self.docs.select(F.col("doc_id").alias("node"), "text").join(wanted, "node").select("node", "set_key", "text")
-        made = self.scratch.keep(texts.mapInArrow(make, "node bigint, whole binary"), f"{name}-sets")
+        rows = self.docs.filter("doc_id is not null").select(F.col("doc_id").alias("node"), F.xxhash64("doc_id").alias("h"), "text")
+        made = rows.mapInArrow(make, "node bigint, set_key binary, whole binary")
+        made = self.scratch.keep(made.join(wanted, ["node", "set_key"], "left_semi").select("node", "whole"), f"{name}-sets")
         self.scratch.drop(f"{name}-wanted")
         # repeated rows have equal sets: one of each stays
         return made.dropDuplicates(["node"])
