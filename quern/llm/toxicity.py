@@ -279,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with `score` and `predicted`."""
+    """docs with `score` and `predicted`, which replace columns of these names."""
     given = docs.sparkSession.sparkContext.broadcast(machine)
 
     def judge(batches):
@@ -291,9 +291,10 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
                 part = bags[a : a + 256]
                 known = m.learn(set().union(*part))
                 out += [max(map(known.__getitem__, b), default=-1.0) for b in part]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([m.score(x) for x in out], pa.float64())], ["k", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("text"), pa.array([m.score(x) for x in out], pa.float64())], ["k", "text", "score"])
 
-    kind = docs.schema.simpleString()
-    rows = docs.select(F.struct("*").alias("k"), F.col("text").alias("text"))
-    scored = rows.mapInArrow(judge, f"k {kind}, score double")
-    return scored.select("k.*", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    # the other columns travel as one, so that names can't clash
+    columns = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows = docs.select(F.struct(F.lit(None).cast("int").alias("_"), *[F.col(f"`{c}`") for c in columns if c != "text"]).alias("k"), "text")
+    scored = rows.mapInArrow(judge, f"k {rows.schema['k'].dataType.simpleString()}, text string, score double")
+    return scored.select(*[F.col("text") if c == "text" else F.col(f"k.`{c}`") for c in columns], "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
