@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits at most: what is broadcast never exceeds 32 MB.
 MOST_BITS = 1 << 28
-_SEGMENTS = 64
 
 
 class Bloom:
@@ -30,22 +28,15 @@ class Bloom:
 
 
 def build(hashes: DataFrame, column: str) -> Bloom:
-    """The filter of a column (long); segments of it are built apart and at most MOST_BITS come to the driver."""
+    """The filter of a column (long), as 64-bit words that are put together before they are shuffled; at most MOST_BITS / 64 words come to the driver."""
     n = hashes.count()
     if not n:
         return Bloom(np.zeros(0, np.uint8), 0)
     m = min(MOST_BITS, max(1 << 12, 1 << (16 * n - 1).bit_length()))
-    each = m // _SEGMENTS
     h = F.col(column)
     places = F.array(h.bitwiseAND(F.lit(m - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(m - 1)))
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(each, np.uint8)
-        bits[rows["place"].to_numpy() % each] = 1
-        return pd.DataFrame({"segment": rows["segment"].iloc[:1], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    place = hashes.select(F.explode(places).alias("place")).distinct().withColumn("segment", (F.col("place") / each).cast("int"))
-    out = np.zeros(m // 8, np.uint8)
-    for r in place.groupBy("segment").applyInPandas(fill, "segment int, bits binary").toLocalIterator():
-        out[r["segment"] * each // 8 : (r["segment"] + 1) * each // 8] = np.frombuffer(r["bits"], np.uint8)
-    return Bloom(out, m)
+    place = F.col("place")
+    words = hashes.select(F.explode(places).alias("place")).groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(place & 63 AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(m // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return Bloom(out.view(np.uint8), m)
