@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star rounds over an edge table."""
+"""Connected components by contraction: nodes hook to their least neighbour, chains of hooks are cut short, edges are relabelled."""
 
 from __future__ import annotations
 
@@ -9,34 +9,26 @@ from .common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """node, component (the smallest node it reaches) of every node with an edge; edges: a, b (long).
+    """node, component (the least node it reaches) of every node with an edge; edges: a, b (long).
 
-    Each round is a few joins and aggregates on node ids, written to the shared folder; a node with
-    very many edges is a skewed join side, which Spark splits, and never one group.
+    The least node of a component never hooks to another, so it is what is left of it. Each round leaves only local
+    minima; its labels are written to the shared folder. Neighbours are only ever aggregated to their least one, so
+    a node with very many edges is no large group.
     """
-
-    def towards(x: DataFrame, above: bool) -> DataFrame:
-        least = x.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        both = x.join(least, "u")
-        if above:  # large star: the larger neighbours of u move to the least
-            return both.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        moved = both.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return moved.union(least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b")))
-
-    def mark(x: DataFrame) -> tuple:
-        r = x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        return r["n"], r["s"]
-
-    now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    seen, i = mark(now), 0
-    while seen[0]:
+    now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges0")
+    rounds: list[DataFrame] = []
+    while not rounds or not now.isEmpty():
+        k = len(rounds)
         either = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = towards(either, True)
-        small = towards(large.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), False)
-        i += 1
-        now = scratch.keep(small.distinct(), f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
-        if (found := mark(now)) == seen:
-            break
-        seen = found
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        hooks = scratch.keep(either.groupBy("u").agg(F.min("v").alias("l")).select("u", F.least("u", "l").alias("l")), f"{name}-hooks{k}")
+        further = lambda x, y: x.join(y.select(F.col("u").alias("l"), F.col("l").alias("m")), "l").select("u", F.col("m").alias("l"))
+        labels = scratch.keep(further(further(hooks, hooks), hooks), f"{name}-labels{k}")
+        rounds.append(labels)
+        to = lambda c: labels.select(F.col("u").alias(c), F.col("l").alias(f"l{c}"))
+        moved = now.join(to("a"), "a").join(to("b"), "b").filter("la <> lb").select(F.greatest("la", "lb").alias("a"), F.least("la", "lb").alias("b")).distinct()
+        now = scratch.keep(moved, f"{name}-edges{k + 1}")
+        scratch.drop(f"{name}-edges{k}", f"{name}-hooks{k}")
+    out = rounds[0]
+    for labels in rounds[1:]:
+        out = out.join(labels.select(F.col("u").alias("l"), F.col("l").alias("m")), "l", "left").select("u", F.coalesce("m", "l").alias("l"))
+    return out.select(F.col("u").alias("node"), F.col("l").alias("component"))

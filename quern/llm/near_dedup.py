@@ -98,10 +98,10 @@ def _union_sketch_allows() -> Column:
 
 
 def _links_in_block(rows):
-    """Links that join components, among the members of one block or two that meet, by their full sets."""
+    """Pairs of components (a, b) that links join, among the members of one block or two that meet, by their full sets."""
     import pandas as pd
 
-    comp, node, home = (rows[c].to_numpy() for c in ("component", "node", "block"))
+    comp, home = rows["component"].to_numpy(), rows["block"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in rows["whole"]]
     n = np.array([len(x) for x in sets], np.int64)
     value, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -135,7 +135,7 @@ def _links_in_block(rows):
         x, y = find(comp[i[k]]), find(comp[j[k]])
         if x != y:
             root[x] = y
-            out.append((node[i[k]], node[j[k]]))
+            out.append((comp[i[k]], comp[j[k]]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -220,12 +220,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     worth = met.groupBy("hub", "lo", "hi").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub", "lo", "hi")
     met = keep(met.join(worth, ["hub", "lo", "hi"]), "met")
     scratch.drop("members", "together")
+    of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     if not met.isEmpty():
         sets = linker.sets(met.select("node").distinct(), "blocks")
         more = met.join(sets, "node").groupBy("hub", "lo", "hi").applyInPandas(_links_in_block, "a bigint, b bigint")
-        labels = components(links.union(keep(more, "more")), scratch, "second")
-    scratch.drop("met", "blocks-sets", "stars-links", "more")
-    of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
+        joined = components(more, scratch, "second").select(F.col("node").alias("c"), F.col("component").alias("d"))
+        of_set = of_set.join(joined, "c", "left").select("set_key", F.coalesce("d", "c").alias("c"))
+    scratch.drop("met", "blocks-sets", "stars-links")
     out = made.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     component = F.coalesce("c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
