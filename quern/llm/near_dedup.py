@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, Words, blocks, ngram_hashes, sequence_hash, text_buffers
+from .common import Scratch, Words, blocks, ngram_hashes, sequence_hash, text_buffers, tidied
 from .components import components
 
 WIDTH = 5
@@ -63,6 +63,7 @@ def _key(s: np.ndarray) -> bytes | None:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (of the whole set) and sketch (ascending as unsigned) of each document."""
 
+    @tidied
     def make(batches):
         for batch in batches:
             n, keys, sketch = [], [], []
@@ -150,6 +151,7 @@ class _Linker:
         # the filter spares shuffling texts; the join decides which sets are wanted
         maybe = self.docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(F.xxhash64("node").alias("h")), "h"))
 
+        @tidied
         def make(batches):
             for batch in batches:
                 batch = batch.filter(pa.array(maybe.value.has(np.asarray(batch.column("h"), np.int64).view(np.uint64))))
@@ -170,6 +172,7 @@ class _Linker:
         likely = keep(pairs.join(side("a"), "a").join(side("b"), "b").filter(_union_sketch_allows()).select("a", "b"), f"{name}-likely")
         sets = self.sets(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct(), name)
 
+        @tidied
         def similar(batches):
             for batch in batches:
                 ok = []

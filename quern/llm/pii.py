@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Kinds in order.
 KINDS = ("email", "ip", "card", "phone")
 #: What an address, and a number, is made of.
@@ -360,6 +362,7 @@ def digest(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, the digest of the base spans, and all spans."""
     field = train()
 
+    @tidied
     def look(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in range(6)]
@@ -390,6 +393,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with personal data masked in `text`; all other columns as they are."""
     field = train()
 
+    @tidied
     def mask(batches):
         for batch in batches:
             texts = [masked(t.as_py(), find(t.as_py(), field)[1]) for t in batch.column("text")]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import _ROLL, Scratch, Words, _mix, blocks, ngram_hashes, text_buffers
+from .common import _ROLL, _mix, Scratch, Words, blocks, ngram_hashes, text_buffers, tidied
 
 WIDTH = 20
 SEED = 5
@@ -73,6 +73,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     scratch = Scratch(spark, "substrings")
     docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
 
+    @tidied
     def seeds(batches):
         for batch in batches:
             for *_, g, _, _, _ in _stretches(batch.column("text"), width, seed):
@@ -82,6 +83,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     often = spark.sparkContext.broadcast(bloom.build(common, "seed"))
     scratch.drop("seeds")
 
+    @tidied
     def stretches(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"), np.int64)
@@ -103,6 +105,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
     heads = spark.sparkContext.broadcast(bloom.build(firsts.join(varied, "seed").select("head"), "head"))
     scratch.drop("firsts")
 
+    @tidied
     def windows(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"), np.int64)
@@ -124,6 +127,7 @@ def deduplicate(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFr
     """doc_id, n_words, n_removed and kept: the words that stay, joined by one space."""
     ranges = repeats(docs, width, seed).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
 
+    @tidied
     def cut(batches):
         for batch in batches:
             raw, off = text_buffers(batch.column("text"))

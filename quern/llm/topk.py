@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 #: Vectors of a run and of a block, runs whose queries make one query block.
 RUN = 4096
@@ -138,6 +138,7 @@ def top_k(df: DataFrame, k: int = 5, every: int = 50, id_column: str = "vec_id",
     asked = runs.mapInArrow(of_queries, _BLOCKS).groupBy("part").applyInPandas(merged, _BLOCKS)
     asked = scratch.keep(asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.col("dims").alias("q_dims"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights")), "queries")
 
+    @tidied
     def search(batches):
         for batch in batches:
             for i in range(batch.num_rows):
