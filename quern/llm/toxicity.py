@@ -19,6 +19,7 @@ score is the share of toxic labels.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -28,17 +29,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Labelled rows of each label that the machine is fitted on, at most.
 SAMPLE = 2000
-#: Characters of a labelled text that the sample may hold, so that the driver's memory is bounded.
-SAMPLE_CHARS = 20_000
+#: Labelled texts of more characters are not in the sample, so that the driver's memory is bounded; others are, whole.
+SAMPLE_CHARS = 100_000
 LENGTH, SPAN, DECAY = 4, 6, 0.7
 LANDMARKS, ROUNDS = 240, 3
+#: Strength from which a word explains a document.
+CLEAR = 4.0
 #: Of the strongest insults so many are learned in disturbed spellings too.
 DISTURBED = 60
 THRESHOLD = 0.3
+#: The margin of no evidence, below which none counts.
+NOTHING = -1.0
+#: Words of a document that its score rests on.
+BEST = 3
 #: Words whose scores a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longer words are scored in overlapping stretches of so many letters.
 LONGEST = 32
 _SPELLED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_*][^\W_]){3,}(?!\S)")
@@ -47,11 +56,14 @@ _SIGNS = str.maketrans("013457@$", "oieastas")
 
 
 def _code(c: str) -> int:
-    """1 to 26 for Latin letters, accents dropped; 27 to 31 for other letters; 0 for what is no letter."""
-    base = unicodedata.normalize("NFKD", c.translate(_SIGNS).lower())[:1]
-    if "a" <= base <= "z":
-        return ord(base) - 96
-    return 27 + ord(base) % 5 if base.isalpha() else 0
+    """1 to 26 for Latin letters, full-width and the like too; 28 to 31 for other letters; 0 for what is no letter."""
+    c = unicodedata.normalize("NFKC", c.translate(_SIGNS).lower())[:1]
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    return 28 + ord(c) % 4 if c.isalpha() else 0
+
+
+_START = bytes([27])
 
 
 class _Codes(dict):
@@ -77,8 +89,8 @@ def words_of(text: str | None) -> set[str]:
 
 
 def folded(word: str) -> list[bytes]:
-    """A word's letters as codes, in stretches of at most LONGEST."""
-    codes = word.translate(_CODES).encode("latin-1")
+    """A word's letters as codes after one that marks its start, in stretches of at most LONGEST."""
+    codes = _START + word.translate(_CODES).encode("latin-1")
     if len(codes) <= LONGEST:
         return [codes]
     return [codes[i : i + LONGEST] for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2)]
@@ -107,9 +119,9 @@ SPACE = 32**LENGTH
 
 
 class Machine:
-    """weights: of subsequences; a word's margin is their sum over it plus `bias`; a document's score is logistic in the best."""
+    """weights: of subsequences; a word's margin is their sum over it plus `bias`; a document's score is logistic in its BEST best."""
 
-    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float, slope: float, shift: float):
+    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float, slope: np.ndarray, shift: float):
         self.at, self.weight, self.bias, self.slope, self.shift = at, weight.astype(np.float32), bias, slope, shift
         self._table: np.ndarray | None = None
         self._known: dict[str, float] = {}
@@ -124,9 +136,10 @@ class Machine:
         stretches, owner = [], []
         for i, w in enumerate(words):
             for s in folded(w):
-                stretches.append(s)
-                owner.append(i)
-        out = np.full(len(words), -1.0)
+                if len(s) > LENGTH:  # shorter words are no evidence
+                    stretches.append(s)
+                    owner.append(i)
+        out = np.full(len(words), NOTHING)
         for a in range(0, len(stretches), 4096):
             part = stretches[a : a + 4096]
             o, sub, weight = subsequences(part)
@@ -142,8 +155,14 @@ class Machine:
         self._known.update(zip(new, self.margins(new).tolist(), strict=True))
         return self._known
 
-    def score(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30))))
+    def score(self, margins: list[float]) -> float:
+        """The score of a document with these best margins."""
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.slope, margins) + self.shift, -30, 30))))
+
+
+def best(words: set[str], margins: dict[str, float]) -> list[float]:
+    """The BEST largest margins of a document's words, filled up with NOTHING."""
+    return (heapq.nlargest(BEST, map(margins.__getitem__, words)) + [NOTHING] * BEST)[:BEST]
 
 
 def _kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
@@ -164,6 +183,18 @@ def _kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
+def _grams(codes: bytes) -> set[bytes]:
+    """A word's beginnings, and its inner grams of LENGTH letters and one more."""
+    n = len(codes)
+    return {codes[:k] for k in range(LENGTH + 1, min(n, 9) + 1)} | {codes[i : i + k] for k in (LENGTH, LENGTH + 1) for i in range(1, n - k + 1)}
+
+
+def _tell(bad: int, good: int, n_bad: int, n_good: int) -> float:
+    """How much more often among toxic documents, weighed by how often at all."""
+    odds = np.log((bad + 0.1) / (n_bad + 1)) - np.log((good + 0.1) / (n_good + 1))
+    return float(odds * np.log1p(bad))
+
+
 def _disturbed(word: bytes, rng: np.random.Generator) -> bytes:
     """A word with one letter put in, somewhere inside."""
     at = int(rng.integers(1, len(word)))
@@ -194,21 +225,27 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
     none = np.zeros(0, np.int64)
     if not toxic or not clean:
         p = np.clip(len(toxic) / max(1, len(bags)), 1e-6, 1 - 1e-6)
-        return Machine(none, np.zeros(0), -1.0, 0.0, float(np.log(p / (1 - p))))
+        return Machine(none, np.zeros(0), NOTHING, np.zeros(BEST), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     # one spelling stands for all that fold alike
     shape = lambda w: folded(w)[0]
     form: dict[bytes, str] = {}
-    bags = [sorted({form.setdefault(shape(w), w) for w in b if len(shape(w)) >= LENGTH}) for b in (*toxic, *clean)]
+    bags = [sorted({form.setdefault(shape(w), w) for w in b if len(shape(w)) > LENGTH}) for b in (*toxic, *clean)]
     toxic, clean = bags[: len(toxic)], bags[len(toxic) :]
     bad, good = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    odds = {w: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((good[w] + 0.1) / (len(clean) + 1)) for w, n in bad.items()}
-    strength = {w: odds[w] * np.log1p(bad[w]) for w in odds}
-    # the words that explain a toxic document: its strongest, and any nearly as strong
+    # a word is as suspect as its most telling gram: insults come with endings that no other document repeats
+    grams = {w: _grams(shape(w)) for w in {*bad, *good}}
+    gram_bad, gram_good = Counter(g for b in toxic for g in set().union(*map(grams.get, b))), Counter(g for b in clean for g in set().union(*map(grams.get, b)))
+    tells = {g: _tell(n, gram_good[g], len(toxic), len(clean)) for g, n in gram_bad.items() if n > 1}
+    strength = {w: max((tells.get(g, 0.0) for g in grams[w]), default=0.0) + 0.5 * _tell(n, good[w], len(toxic), len(clean)) for w, n in bad.items()}
+    del grams, gram_bad, gram_good
+    # the word that explains a toxic document, if any does
     witness: Counter = Counter()
     for b in toxic:
-        if b:
-            witness[max(b, key=lambda w: (strength[w], w))] += 1
+        if b and strength[w := max(b, key=lambda w: (strength[w], w))] > CLEAR:
+            witness[w] += 1
+    if not witness:
+        witness.update(max(b, key=lambda w: (strength[w], w)) for b in toxic if b)
     common = [w for w, _ in good.most_common(300)]
     known = sorted(good)
     mistaken = [known[i] for i in rng.permutation(len(known))[:2500]]
@@ -232,7 +269,7 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
         alpha = root @ w
         o, s, weight = subsequences(marks)
         at, inverse = np.unique(s, return_inverse=True)
-        machine = Machine(at, np.bincount(inverse, alpha[o] * weight, len(at)), bias, 1.0, 0.0)
+        machine = Machine(at, np.bincount(inverse, alpha[o] * weight, len(at)), bias, np.zeros(BEST), 0.0)
         every = sorted(set(bad) | set(good))
         margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
         if step < rounds - 1:
@@ -241,28 +278,25 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
             witness = Counter()
             for b in toxic:
                 if b:
-                    own = sorted(b, key=lambda w: -(margin[w] + 0.1 * strength[w]))
-                    witness[own[0]] += 1
-                    witness.update(w for w in own[1:6] if margin[w] > 0 and not good[w])
-    best = np.array([max((margin[w] for w in b), default=-1.0) for b in (*toxic, *clean)])
-    y = np.r_[np.ones(len(toxic)), np.zeros(len(clean))]
-    slope, shift = _calibrate(best, y)
-    machine.slope, machine.shift = slope, shift
+                    own = sorted(b, key=lambda w: (-(margin[w] + 0.1 * strength[w]), w))
+                    witness.update(w for w in own[:6] if not good[w] and (margin[w] > 0 and strength[w] > CLEAR / 2 or w == own[0] and strength[w] > CLEAR))
+    top = np.array([best(b, margin) for b in (*toxic, *clean)])
+    machine.slope, machine.shift = _calibrate(top, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
     return machine
 
 
-def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic scale of margins, both labels weighing the same."""
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    x, w = np.c_[m, np.ones(len(m))], np.array([1.0, 0.0])
-    for _ in range(50):
+def _calibrate(m: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic weights of the best margins, and the constant."""
+    x, w = np.c_[m, np.ones(len(m))], np.zeros(m.shape[1] + 1)
+    ridge = np.array([0.05] * m.shape[1] + [1e-4])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-4])
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - np.array([1e-2, 1e-4]) * w)
-        w = w + step
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        w = w + step / max(1.0, np.abs(step).max() / 4)
         if np.abs(step).max() < 1e-6:
             break
-    return float(max(w[0], 0.0)), float(w[1])
+    return np.maximum(w[:-1], 0.0), float(w[-1])
 
 
 def held_out():
@@ -274,7 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = labels.filter(F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.filter("toxic = 1").orderBy(order, "doc_id").limit(sample).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "toxic").orderBy("doc_id", "text").limit(2 * sample)
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.length("text"), F.lit(0)) <= SAMPLE_CHARS).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * sample)
     return fit([(r["text"], r["toxic"]) for r in rows.toLocalIterator()])
 
 
@@ -282,16 +316,16 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     """docs with `score` and `predicted`, which replace columns of these names."""
     given = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @tidied
     def judge(batches):
         m = given.value
         for batch in batches:
-            bags = [words_of(t.as_py()) for t in batch.column("text")]
-            out = []
-            for a in range(0, len(bags), 256):
-                part = bags[a : a + 256]
+            texts, out = batch.column("text"), []
+            for a in range(0, len(texts), 128):
+                part = [words_of(t.as_py()) for t in texts.slice(a, 128)]
                 known = m.learn(set().union(*part))
-                out += [max(map(known.__getitem__, b), default=-1.0) for b in part]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("text"), pa.array([m.score(x) for x in out], pa.float64())], ["k", "text", "score"])
+                out += [m.score(best(b, known)) for b in part]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("text"), pa.array(out, pa.float64())], ["k", "text", "score"])
 
     # the other columns travel as one, so that names can't clash
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
