@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
 ROOM = 2048
 END_ID = 0
@@ -45,17 +45,21 @@ def encoder(vocabulary: str | None = None, fast: str | None = None):
         import tiktoken
         from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(vocabulary or P.path("byte_bpe_50k.json"))
-        special = [t.content for t in slow.get_added_tokens_decoder().values()]
+        file = vocabulary or P.path("byte_bpe_50k.json")
+        slow = [Tokenizer.from_file(file)]
+        special = [t.content for t in slow[0].get_added_tokens_decoder().values()]
         with open(fast or P.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         quick = tiktoken.Encoding("ranks", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def exact(text: str) -> np.ndarray:
-            return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
+            if not slow:
+                slow.append(Tokenizer.from_file(file))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
 
-        probe = "It's 42  words,\n\n\tcafé niño 東京 🙂 it'll\r\n é  x_y-z 1234567 ​!!! ... "
-        agree = quick.encode_ordinary(probe) == exact(probe).tolist()
+        probe = "It's 42  words,\n\n\tcafé niño 東京 🙂 it'll\r\n é  x_y-z 1234567 ​!!! ... "
+        if agree := quick.encode_ordinary(probe) == exact(probe).tolist():
+            slow.clear()  # most texts never need it
 
         def encode(text: str) -> np.ndarray:
             if not agree or any(s in text for s in special):
@@ -69,6 +73,7 @@ def encoder(vocabulary: str | None = None, fast: str | None = None):
 def pieces(docs: DataFrame, room: int = ROOM, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each piece of each document."""
 
+    @tidied
     def cut(batches):
         encode = encoder(vocabulary)
         for batch in batches:
@@ -102,48 +107,45 @@ class Stock:
         return min((self.n.get(x, 0) // parts.count(x) for x in set(parts)), default=0)
 
 
-def _complement(stock: Stock, head: int, gap: int) -> tuple[int, ...] | None:
-    """One, two or three lengths in stock that sum to gap exactly, given that one `head` is taken too."""
-    free = lambda parts: stock.times((head, *parts)) > 0
-    if stock.n.get(gap) and free((gap,)):
+def _exact(stock: Stock, taken: tuple[int, ...], gap: int, most: int) -> tuple[int, ...] | None:
+    """At most `most` lengths in stock, beside those taken, that sum to gap exactly: a look-up of the complement of each sum."""
+    if not gap:
+        return ()
+    if stock.n.get(gap) and stock.times((*taken, gap)):
         return (gap,)
+    if most < 2:
+        return None
     below = stock.lengths[: bisect_left(stock.lengths, gap)]
     for a in reversed(below):
         if 2 * a < gap:
             break
-        if stock.n.get(gap - a) and free((a, gap - a)):
+        if stock.n.get(gap - a) and stock.times((*taken, a, gap - a)):
             return (a, gap - a)
-    for a in reversed(below):
-        if 3 * a < gap:
-            break
-        rest = gap - a
-        for b in reversed(below[: bisect_left(below, min(a, rest) + 1)]):
-            if 2 * b < rest:
-                break
-            if stock.n.get(rest - b) and free((a, b, rest - b)):
-                return (a, b, rest - b)
     return None
 
 
+def _complement(stock: Stock, head: int, gap: int) -> tuple[tuple[int, ...], bool]:
+    """(lengths, whether they fill the gap exactly): one length, or the longest that fits with one or two that complete it."""
+    if (rest := _exact(stock, (head,), gap, 1)) is not None:
+        return rest, True
+    k = bisect_left(stock.lengths, gap)
+    while k and not stock.times((head, stock.lengths[k - 1])):
+        k -= 1
+    if not k:
+        return (), False
+    a = stock.lengths[k - 1]
+    rest = _exact(stock, (head, a), gap - a, 2)
+    return ((a,), False) if rest is None else ((a, *rest), True)
+
+
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how many sequences have each: (lengths in order, times). Every piece is in one.
 
     The number of steps depends on the number of distinct lengths, not of pieces: each step uses up a length
     or splits a group of open sequences once.
     """
-    stock, done, residue = Stock(counts), [], {}
-    while stock.lengths:
-        head = stock.lengths[-1]
-        if head == room:
-            done.append(((head,), n := stock.n[head]))
-            stock.take((head,), n)
-        elif (rest := _complement(stock, head, room - head)) is not None:
-            done.append((parts := (head, *rest), n := stock.times((head, *rest))))
-            stock.take(parts, n)
-        else:
-            residue[head] = stock.n[head]
-            stock.take((head,), stock.n[head])
-    # best fit, longest first, over groups of like sequences: gap -> {pattern: times}
+    stock, done = Stock(counts), []
+    # groups of like open sequences: gap -> {pattern: times}
     open_: dict[int, dict[tuple[int, ...], int]] = {}
     gaps: list[int] = []
 
@@ -154,20 +156,13 @@ def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...]
             insort(gaps, gap)
         open_[gap][parts] = open_[gap].get(parts, 0) + times
 
-    for x in sorted(residue, reverse=True):
-        left = residue[x]
-        while left:
-            k = bisect_left(gaps, x)
-            if k == len(gaps):
-                each = room // x
-                if full := left // each:
-                    put((x,) * each, full)
-                if left % each:
-                    put((x,) * (left % each), 1)
-                break
+    while stock.lengths:
+        x = stock.lengths[-1]
+        k = bisect_left(gaps, x)
+        if k < len(gaps):  # best fit: the fullest open sequence with room for it
             gap = gaps[k]
             parts, times = next(iter(open_[gap].items()))
-            used = min(times, left)
+            used = min(times, stock.n[x])
             if used == times:
                 del open_[gap][parts]
                 if not open_[gap]:
@@ -175,8 +170,19 @@ def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...]
                     del gaps[k]
             else:
                 open_[gap][parts] = times - used
+            stock.take((x,), used)
             put((*parts, x), used)
-            left -= used
+        elif x == room:
+            done.append(((x,), n := stock.n[x]))
+            stock.take((x,), n)
+        else:
+            rest, exact = _complement(stock, x, room - x)
+            n = stock.times((x, *rest))
+            stock.take((x, *rest), n) if x not in rest else [stock.take((y,), n) for y in (x, *rest)]
+            if exact:
+                done.append(((x, *rest), n))
+            else:
+                put((x, *rest), n)
     done += [(parts, times) for group in open_.values() for parts, times in group.items()]
     return done
 
@@ -213,6 +219,7 @@ def pack(docs: DataFrame, room: int = ROOM, vocabulary: str | None = None) -> Da
         starts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
         ranked = ranked.join(starts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("first"))
 
+    @tidied
     def place(batches):
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
