@@ -194,18 +194,19 @@ def align(a: Folded, b: Folded) -> dict[tuple[int, ...], tuple[int, ...]]:
 
 
 def texts_by_path(root: Node) -> dict[tuple[int, ...], str]:
-    """The text that the nodes of each folded path hold themselves."""
+    """The text of the blocks of each folded path, inline elements included."""
     out: dict[tuple[int, ...], list[str]] = defaultdict(list)
 
-    def walk(node: Node, path: tuple[int, ...]) -> None:
+    def walk(node: Node, path: tuple[int, ...], block: tuple[int, ...]) -> None:
         for c in node.children:
             if isinstance(c, str):
                 if not c.isspace():
-                    out[path].append(c)
+                    out[block].append(c)
             else:
-                walk(c, (*path, c.fold))
+                at = (*path, c.fold)
+                walk(c, at, at if c.tag in BLOCKS else block)
 
-    walk(root, ())
+    walk(root, (), ())
     return {k: "\n".join(v) for k, v in out.items()}
 
 
@@ -243,8 +244,7 @@ def blocks(node: Node, path: tuple[int, ...], template: set[tuple[int, ...]]) ->
                 out.append(text)
             now.clear()
 
-    def walk(x: Node, p: tuple[int, ...]) -> None:
-        constant = p in template
+    def walk(x: Node, p: tuple[int, ...], constant: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
                 if not constant:
@@ -252,16 +252,17 @@ def blocks(node: Node, path: tuple[int, ...], template: set[tuple[int, ...]]) ->
             elif c.tag == "br":
                 now.append(" ")
             elif not c.aside or c.tag == "header" and path and not c.words:
+                at = (*p, c.fold or 0)
                 if c.tag in BLOCKS:
                     close()
-                    walk(c, (*p, c.fold or 0))
+                    walk(c, at, at in template)
                     close()
                 else:
-                    walk(c, (*p, c.fold or 0))
+                    walk(c, at, constant)
             elif c.tag in BLOCKS:
                 close()
 
-    walk(node, path)
+    walk(node, path, path in template)
     close()
     return out
 

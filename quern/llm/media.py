@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_buffers
+from .common import text_buffers, tidied
 
 #: Magic bytes by format; the number is where they stand from the file's first byte.
 MAGIC = (
@@ -148,11 +148,12 @@ def _pgm(b: bytes, at: int) -> int:
 
 
 def _gzip(b: bytes, at: int) -> int:
-    d = zlib.decompressobj(31)
+    d, p = zlib.decompressobj(31), at
     try:
-        p = at
-        while not d.eof and p < len(b):
-            d.decompress(d.unconsumed_tail or b[p : (p := p + 65536)], 1 << 20)
+        while not d.eof and (p < len(b) or d.unconsumed_tail):
+            part = d.unconsumed_tail or b[p : p + 65536]
+            p += 0 if d.unconsumed_tail else len(part)
+            d.decompress(part, 1 << 20)
     except zlib.error:
         return 0
     return p - len(d.unused_data) - at if d.eof else 0
@@ -227,8 +228,10 @@ def wav_samples(b: bytes) -> bytes:
 
 def sniff_media(df: DataFrame, payload: str = "payload", declared: str | None = None) -> DataFrame:
     """df with `media_type` (validated type at byte 0, else "bin"), `type_ok` (it equals `declared`) and
-    `carved`: the validated media elsewhere in the payload as structs (kind, start, length)."""
+    `carved`: the validated media elsewhere in the payload as structs (kind, start, length). Columns of these names
+    are replaced."""
 
+    @tidied
     def look(batches):
         for batch in batches:
             kinds, carved = [], []
@@ -239,7 +242,8 @@ def sniff_media(df: DataFrame, payload: str = "payload", declared: str | None =
                 carved.append([{"kind": k, "start": at, "length": n} for k, at, n in found if at])
             yield pa.RecordBatch.from_pydict({"k": batch.column("k"), "media_type": pa.array(kinds, pa.string()), "carved": pa.array(carved, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())])))})
 
-    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    made = ("media_type", "type_ok", "carved")
+    rows = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in made or c == payload])
     # the row travels beside its payload as one opaque column, so that names can't clash
     out = df.select(rows.alias("k"), F.col(f"`{payload}`").cast("binary").alias("payload"))
     kind = out.schema["k"].dataType.simpleString()
@@ -255,6 +259,7 @@ def document_media(docs: DataFrame) -> DataFrame:
     validated as if of unknown type, and the samples read back from the carved data chunk.
     """
 
+    @tidied
     def make(batches):
         for batch in batches:
             raw, off = text_buffers(batch.column("text"))

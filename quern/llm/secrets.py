@@ -102,10 +102,11 @@ def _high(value: Column, _: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `secrets`: structs (start, kind, end, value), by start and kind; entropy spans meet no other span."""
+    """docs with `secrets`: structs (start, kind, end, value), by start and kind; entropy spans meet no other span. A column of that name is replaced."""
     plain = F.translate(F.coalesce(F.col(f"`{text}`"), F.lit("")), _MARK + _INNER, _PLAIN * 2)
     every = F.lit(True)
-    kept = docs.select(F.struct("*").alias("row"), plain.alias("t"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "secrets"]
+    kept = docs.select(F.struct(*others).alias("row"), plain.alias("t"))
     kept = kept.select("row", _marked(F.col("t"), ASSIGN, "$2").alias("p0"), _marked(F.col("t"), ACCESS).alias("p1"), _marked(F.col("t"), HEX).alias("p2"), _marked(F.col("t"), CANDIDATE).alias("p3"))
     kept = kept.select(
         "row",
@@ -117,7 +118,7 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat("s0", "s1", "s2")
     kept = kept.select("row", base.alias("base"), "s3")
     alone = F.filter("s3", lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
-    return kept.select("row.*", F.array_sort(F.concat("base", alone)).alias("secrets"))
+    return kept.select("row", F.array_sort(F.concat("base", alone)).alias("found")).select("row.*", F.col("found").alias("secrets"))
 
 
 def written(spans: Column) -> Column:
