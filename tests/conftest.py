@@ -13,10 +13,11 @@ def spark(tmp_path_factory):
 
     shared = tmp_path_factory.mktemp("shared")
     s = (
-        SparkSession.builder.master("local[8]")
+        SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '8')}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.checkpoint.dir", str(shared / "checkpoints"))
         .config("spark.sql.warehouse.dir", str(shared / "warehouse"))
