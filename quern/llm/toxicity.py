@@ -220,25 +220,32 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> tup
 
 def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 5) -> Machine:
     """The machine for (text, 0 or 1) rows."""
-    bags = [(words_of(t), y) for t, y in docs]
-    toxic, clean = [b for b, y in bags if y], [b for b, y in bags if not y]
+    n_toxic = sum(y for _, y in docs)
+    n_clean = len(docs) - n_toxic
     none = np.zeros(0, np.int64)
-    if not toxic or not clean:
-        p = np.clip(len(toxic) / max(1, len(bags)), 1e-6, 1 - 1e-6)
+    if not n_toxic or not n_clean:
+        p = np.clip(n_toxic / max(1, len(docs)), 1e-6, 1 - 1e-6)
         return Machine(none, np.zeros(0), NOTHING, np.zeros(BEST), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
     # one spelling stands for all that fold alike
     shape = lambda w: folded(w)[0]
     form: dict[bytes, str] = {}
-    bags = [sorted({form.setdefault(shape(w), w) for w in b if len(shape(w)) > LENGTH}) for b in (*toxic, *clean)]
-    toxic, clean = bags[: len(toxic)], bags[len(toxic) :]
+    toxic: list[list[str]] = []
+    clean: list[list[str]] = []
+    for text, y in docs:
+        (toxic if y else clean).append(sorted({form.setdefault(c, w) for w in words_of(text) if len(c := shape(w)) > LENGTH}))
+    del form
     bad, good = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
     # a word is as suspect as its most telling gram: insults come with endings that no other document repeats
-    grams = {w: _grams(shape(w)) for w in {*bad, *good}}
-    gram_bad, gram_good = Counter(g for b in toxic for g in set().union(*map(grams.get, b))), Counter(g for b in clean for g in set().union(*map(grams.get, b)))
-    tells = {g: _tell(n, gram_good[g], len(toxic), len(clean)) for g, n in gram_bad.items() if n > 1}
-    strength = {w: max((tells.get(g, 0.0) for g in grams[w]), default=0.0) + 0.5 * _tell(n, good[w], len(toxic), len(clean)) for w, n in bad.items()}
-    del grams, gram_bad, gram_good
+    gram_bad, gram_good = Counter(), Counter()
+    for b in toxic:
+        gram_bad.update(set().union(*(_grams(shape(w)) for w in b)))
+    repeated = {g for g, n in gram_bad.items() if n > 1}
+    for b in clean:
+        gram_good.update(set().union(*(_grams(shape(w)) & repeated for w in b)))
+    tells = {g: _tell(gram_bad[g], gram_good[g], len(toxic), len(clean)) for g in repeated}
+    strength = {w: max((tells.get(g, 0.0) for g in _grams(shape(w))), default=0.0) + 0.5 * _tell(n, good[w], len(toxic), len(clean)) for w, n in bad.items()}
+    del gram_bad, gram_good, repeated, tells
     # the word that explains a toxic document, if any does
     witness: Counter = Counter()
     for b in toxic:
