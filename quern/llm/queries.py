@@ -63,9 +63,32 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') END AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc),
+m AS (SELECT doc, min(c) AS c FROM r GROUP BY doc)
+SELECT w.doc_id AS doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, m.c = w.doc_id AS kept FROM w JOIN m ON m.doc = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 18, 1))) AS i FROM d)),
+f AS (SELECT x, min({'d': doc_id, 'i': i}) AS f FROM win GROUP BY x HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM win JOIN f ON win.x = f.x WHERE {'d': doc_id, 'i': i} <> f.f),
+words AS (SELECT doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT words.doc_id AS doc_id, count(gone.p) AS n, string_agg(CASE WHEN gone.p IS NULL THEN v END, ' ' ORDER BY words.p) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.p = words.p GROUP BY 1)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict:
     return {"op1_near_dedup": op1_near_dedup, "op2_pii": op2_pii, "op3_secrets": op3_secrets, "op4_toxicity": op4_toxicity, "op5_topk": op5_topk, "op6_html": op6_html, "op7_mixing": op7_mixing, "op8_packing": op8_packing, "op9_substrings": op9_substrings, "op10_media": op10_media, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op5_topk": OP5_SQL}
+    return {"op1_near_dedup": OP1_SQL, "op5_topk": OP5_SQL, "op9_substrings": OP9_SQL}
