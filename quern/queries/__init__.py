@@ -15,6 +15,7 @@ from quern.session import TABLES, views
 REGISTRY: dict = {}
 ORACLES: dict = {}
 _engines: dict[int, Engine] = {}
+_folders: dict[int, str] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str | None = None) -> Engine:
@@ -22,8 +23,9 @@ def engine(spark: SparkSession, sf_dir: str | None = None) -> Engine:
     key = id(spark)
     if key not in _engines:
         _engines[key] = Engine(spark)
-    if sf_dir:
+    if sf_dir and _folders.get(key) != sf_dir:  # the views of a folder stay until another folder's replace them
         views(spark, sf_dir, TABLES[:8] + ["documents", "embeddings"])
+        _folders[key] = sf_dir
     return _engines[key]
 
 

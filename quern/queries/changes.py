@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from quern.engine import Engine, statements
-from quern.queries import naive, query
-from quern.session import views
+from quern.queries import engine, naive, query
 
 
 def script(name: str, text: str, oracle: str | None) -> None:
     def run(spark, sf_dir):
-        views(spark, sf_dir, ["nation", "customer", "orders", "region", "supplier"])
+        engine(spark, sf_dir)
         db = Engine(spark)
         for s in statements(text):
             out = db.execute(s)
