@@ -21,8 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Pages and characters of a chunk, about.
 CHUNK, CHUNK_CHARS = 64, 2_000_000
+#: Parts that the pages of a host with several chunks are joined in.
+SALTS = 64
 #: Different pages that must agree before their common text counts as template.
 CONSTANT = 5
 
@@ -302,9 +306,12 @@ def host_of(url):
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     host = host_of(F.col("url"))
-    sizes = pages.select(host.alias("host"), F.coalesce(F.length("html"), F.lit(0)).alias("n")).groupBy("host").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_CHARS, F.lit(1.0))).alias("chunks"))
-    # a chunk of a common host is as small as the pages of a rare one
-    rows = pages.select("page_id", "url", "html", host.alias("host")).join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")))
+    sizes = pages.select(host.alias("host"), F.coalesce(F.length("html"), F.lit(0)).alias("n")).groupBy("host").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_CHARS)).alias("chunks"))
+    # hosts of one chunk need no row here; Spark broadcasts the written table if it is small, and salts split a common host if not
+    large = Scratch(pages.sparkSession, "html").keep(sizes.filter("chunks > 1").select("host", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "large")
+    place = F.xxhash64("page_id", "url")
+    rows = pages.select("page_id", "url", "html", host.alias("host"), F.pmod(place, F.lit(SALTS)).cast("int").alias("salt")).join(large, ["host", "salt"], "left")
+    rows = rows.select("page_id", "url", "html", "host", F.coalesce(F.pmod(place, F.col("chunks")), F.lit(0)).alias("chunk"))
 
     def induce(rows: pd.DataFrame) -> pd.DataFrame:
         texts = extract([x if isinstance(x, str) else None for x in rows["html"]])
