@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
 Documents become pieces of at most `room` tokens. Only the number of pieces of each length matters for
-the plan, so the plan is made over at most `room` counts, whatever the number of documents: hash tables
-of the lengths in stock, single, in pairs and in triples, find the combinations that fill what a
+the plan, so the plan is made over at most `room` counts, whatever the number of documents: tables
+of the lengths in stock and of the sums of their pairs find every one, two or three that fill what a
 longest piece leaves exactly; as many sequences are made of a combination as its counts allow. What has
-no exact complement goes, longest first, into the fullest open sequence with room for it.
+no exact complement goes, longest first, into the fullest open sequence with room for it. Taking all exact
+fillings first, or along with best fit, wins on different stocks: the plan of fewest sequences is taken.
 
 Pieces then take the places of their length in order of a hash, by a rank within (length, salt) and the
 salt's offset: no length, however common, lands in one task.
@@ -90,42 +91,66 @@ def pieces(docs: DataFrame, room: int = ROOM, vocabulary: str | None = None) ->
 
 
 class Stock:
-    """Counts by length, with the lengths in stock in order."""
+    """Counts by length, with the lengths in stock in order and how many pairs of them have each sum."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, int], room: int = ROOM):
         self.n = dict(counts)
         self.lengths = sorted(k for k, v in counts.items() if v)
+        self.has = np.zeros(room + 1, bool)
+        self.pairs = np.zeros(room + 1, np.int64)
+        for x in self.lengths:
+            self.has[x] = True
+            self.pairs[x:] += self.has[: room + 1 - x]
 
     def take(self, parts: tuple[int, ...], times: int) -> None:
         for x in parts:
             self.n[x] -= times
             if not self.n[x]:
                 del self.lengths[bisect_left(self.lengths, x)]
+                self.pairs[x:] -= self.has[: len(self.has) - x]
+                self.has[x] = False
 
     def times(self, parts: tuple[int, ...]) -> int:
         """How often all the parts can be taken together."""
         return min((self.n.get(x, 0) // parts.count(x) for x in set(parts)), default=0)
 
 
+def _pair(stock: Stock, taken: tuple[int, ...], gap: int, most: int) -> tuple[int, ...] | None:
+    """Two lengths in stock, beside those taken, that sum to gap exactly, the longer one of at most `most`: by a look-up of each complement."""
+    if gap < 2 or not stock.pairs[gap]:
+        return None
+    both = stock.has[:gap][: most + 1] & stock.has[gap:0:-1][: most + 1]
+    for a in np.flatnonzero(both)[::-1].tolist():
+        if 2 * a < gap:
+            break
+        if stock.times((*taken, a, gap - a)):
+            return (a, gap - a)
+    return None
+
+
 def _exact(stock: Stock, taken: tuple[int, ...], gap: int, most: int) -> tuple[int, ...] | None:
-    """At most `most` lengths in stock, beside those taken, that sum to gap exactly: a look-up of the complement of each sum."""
+    """At most `most` lengths, three at most, in stock beside those taken that sum to gap exactly; fewest first, then longest first."""
     if not gap:
         return ()
     if stock.n.get(gap) and stock.times((*taken, gap)):
         return (gap,)
     if most < 2:
         return None
-    below = stock.lengths[: bisect_left(stock.lengths, gap)]
-    for a in reversed(below):
-        if 2 * a < gap:
+    if (found := _pair(stock, taken, gap, gap)) is not None or most < 3:
+        return found
+    for a in np.flatnonzero(stock.has[:gap] & (stock.pairs[gap:0:-1] > 0))[::-1].tolist():
+        if 3 * a < gap:
             break
-        if stock.n.get(gap - a) and stock.times((*taken, a, gap - a)):
-            return (a, gap - a)
+        if stock.times((*taken, a)) and (rest := _pair(stock, (*taken, a), gap - a, a)) is not None:
+            return (a, *rest)
     return None
 
 
-def _complement(stock: Stock, head: int, gap: int) -> tuple[tuple[int, ...], bool]:
-    """(lengths, whether they fill the gap exactly): one length, or the longest that fits with one or two that complete it."""
+def _complement(stock: Stock, head: int, gap: int, whole: bool) -> tuple[tuple[int, ...], bool]:
+    """(lengths, whether they fill the gap exactly): one length, or the longest that fits with one or two that complete it.
+
+    If `whole`, any one, two or three lengths that fill the gap go before the longest alone.
+    """
     if (rest := _exact(stock, (head,), gap, 1)) is not None:
         return rest, True
     k = bisect_left(stock.lengths, gap)
@@ -134,57 +159,106 @@ def _complement(stock: Stock, head: int, gap: int) -> tuple[tuple[int, ...], boo
     if not k:
         return (), False
     a = stock.lengths[k - 1]
-    rest = _exact(stock, (head, a), gap - a, 2)
-    return ((a,), False) if rest is None else ((a, *rest), True)
+    if (rest := _exact(stock, (head, a), gap - a, 2)) is not None:
+        return (a, *rest), True
+    if whole and (rest := _exact(stock, (head,), gap, 3)) is not None:
+        return rest, True
+    return (a,), False
 
 
 def plan(counts: dict[int, int], room: int = ROOM) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how many sequences have each: (lengths in order, times). Every piece is in one.
 
+    Greedy orders win on different stocks: the plan is the one of fewest sequences of three.
+    """
+    made = (_exact_first(counts, room), _longest_first(counts, room, True), _longest_first(counts, room, False))
+    return min(made, key=lambda patterns: sum(times for _, times in patterns))
+
+
+class Open:
+    """Groups of like open sequences: gap -> {pattern: times}."""
+
+    def __init__(self, room: int):
+        self.room, self.groups, self.gaps = room, {}, []
+
+    def put(self, parts: tuple[int, ...], times: int) -> None:
+        gap = self.room - sum(parts)
+        if gap not in self.groups:
+            self.groups[gap] = {}
+            insort(self.gaps, gap)
+        self.groups[gap][parts] = self.groups[gap].get(parts, 0) + times
+
+    def fit(self, x: int, left: int) -> int:
+        """How many of `left` pieces went into one group of the fullest open sequences with room for them; 0 if there are none."""
+        k = bisect_left(self.gaps, x)
+        if k == len(self.gaps):
+            return 0
+        gap = self.gaps[k]
+        parts, times = next(iter(self.groups[gap].items()))
+        used = min(times, left)
+        if used == times:
+            del self.groups[gap][parts]
+            if not self.groups[gap]:
+                del self.groups[gap]
+                del self.gaps[k]
+        else:
+            self.groups[gap][parts] = times - used
+        self.put((*parts, x), used)
+        return used
+
+    def patterns(self) -> list[tuple[tuple[int, ...], int]]:
+        return [(parts, times) for group in self.groups.values() for parts, times in group.items()]
+
+
+def _exact_first(counts: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
+    """Any exact filling of a longest piece by one, two or three in stock; what has none goes by best fit afterwards."""
+    stock, done, residue, open_ = Stock(counts, room), [], {}, Open(room)
+    while stock.lengths:
+        x = stock.lengths[-1]
+        if (rest := _exact(stock, (x,), room - x, 3)) is None:
+            residue[x] = stock.n[x]
+            stock.take((x,), stock.n[x])
+        else:
+            done.append(((x, *rest), n := stock.times((x, *rest))))
+            stock.take((x, *rest), n)
+    for x in sorted(residue, reverse=True):
+        left = residue[x]
+        while left:
+            if used := open_.fit(x, left):
+                left -= used
+                continue
+            each = room // x
+            if full := left // each:
+                open_.put((x,) * each, full)
+            if left % each:
+                open_.put((x,) * (left % each), 1)
+            left = 0
+    return done + open_.patterns()
+
+
+def _longest_first(counts: dict[int, int], room: int, whole: bool) -> list[tuple[tuple[int, ...], int]]:
+    """The longest piece into the fullest open sequence with room for it, else completed, else opened with the longest that fits.
+
     The number of steps depends on the number of distinct lengths, not of pieces: each step uses up a length
     or splits a group of open sequences once.
     """
-    stock, done = Stock(counts), []
-    # groups of like open sequences: gap -> {pattern: times}
-    open_: dict[int, dict[tuple[int, ...], int]] = {}
-    gaps: list[int] = []
-
-    def put(parts: tuple[int, ...], times: int) -> None:
-        gap = room - sum(parts)
-        if gap not in open_:
-            open_[gap] = {}
-            insort(gaps, gap)
-        open_[gap][parts] = open_[gap].get(parts, 0) + times
-
+    stock, done, open_ = Stock(counts, room), [], Open(room)
     while stock.lengths:
         x = stock.lengths[-1]
-        k = bisect_left(gaps, x)
-        if k < len(gaps):  # best fit: the fullest open sequence with room for it
-            gap = gaps[k]
-            parts, times = next(iter(open_[gap].items()))
-            used = min(times, stock.n[x])
-            if used == times:
-                del open_[gap][parts]
-                if not open_[gap]:
-                    del open_[gap]
-                    del gaps[k]
-            else:
-                open_[gap][parts] = times - used
+        if used := open_.fit(x, stock.n[x]):
             stock.take((x,), used)
-            put((*parts, x), used)
         elif x == room:
             done.append(((x,), n := stock.n[x]))
             stock.take((x,), n)
         else:
-            rest, exact = _complement(stock, x, room - x)
+            rest, exact = _complement(stock, x, room - x, whole)
             n = stock.times((x, *rest))
-            stock.take((x, *rest), n) if x not in rest else [stock.take((y,), n) for y in (x, *rest)]
+            stock.take((x, *rest), n)
             if exact:
                 done.append(((x, *rest), n))
             else:
-                put((x, *rest), n)
-    done += [(parts, times) for group in open_.values() for parts, times in group.items()]
-    return done
+                open_.put((x, *rest), n)
+    return done + open_.patterns()
 
 
 def places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

@@ -277,6 +277,23 @@ def test_plan_is_tight():
     assert sum(t for _, t in plan) <= least * 1.01 + 1
 
 
+def test_plan_tries_all_exact_fillings():
+    plan = packing.plan(dict.fromkeys((1948, 1853, 95, 60, 55, 45, 40), 1))
+    assert sorted(sorted(parts) for parts, _ in plan) == [[40, 60, 1948], [45, 55, 95, 1853]]
+    r = random.Random(3)
+    for _ in range(40):
+        counts = {r.randint(1, 1800): r.randint(1, 3) for _ in range(r.randint(5, 60))}
+        kinds = [packing._exact_first(counts, 2048), packing._longest_first(counts, 2048, True), packing._longest_first(counts, 2048, False)]
+        assert sum(t for _, t in packing.plan(counts)) == min(sum(t for _, t in k) for k in kinds)
+        for k in kinds:
+            used: dict = {}
+            for parts, times in k:
+                assert sum(parts) <= 2048
+                for x in parts:
+                    used[x] = used.get(x, 0) + times
+            assert used == counts
+
+
 def test_media(spark, docs, none, odd):
     texts = {d: t for d, t, *_ in DOCS}
     for x in media.document_media(docs).collect():
