@@ -46,16 +46,16 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MAIN_WORDS = frozenset("article post entry story content maincontent".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("aside", "children", "fold", "main", "tag", "words")
+    __slots__ = ("aside", "children", "fold", "main", "tag", "weak", "words")
 
     def __init__(self, tag: str, attributes: str):
         self.tag, self.children, self.words, self.fold = tag, [], "", None
-        self.aside, self.main = tag in ASIDE, 2 * (tag == "article") or tag == "main"
+        self.aside, self.main, self.weak = tag in ASIDE, 2 * (tag == "article") or tag == "main", False
         if attributes and not attributes.isspace():
             words: list[str] = []
             for m in _ATTRIBUTE.finditer(attributes):
@@ -65,11 +65,12 @@ class Node:
                     self.main = self.main or value in ("main", "article")
                 elif name == "hidden" or name == "aria-hidden":
                     self.aside = self.aside or name == "hidden" or value == "true"
-                else:
+                elif name == "class" or name == "id":
                     words += _PARTS.split(value)
             if words:
                 self.words = " ".join(sorted(set(words) - {""}))
-                self.aside = self.aside or not ASIDE_WORDS.isdisjoint(words)
+                # words alone are a hint, which `settle` takes up
+                self.weak = tag not in ("html", "body") and self.main < 1 and not ASIDE_WORDS.isdisjoint(words)
                 if not self.main and tag in ("div", "section") and not MAIN_WORDS.isdisjoint(words):
                     self.main = 0.5
 
@@ -214,6 +215,32 @@ def texts_by_path(root: Node) -> dict[tuple[int, ...], str]:
     return {k: "\n".join(v) for k, v in out.items()}
 
 
+def settle(root: Node, template: set[tuple[int, ...]]) -> None:
+    """Elements whose class or id says so become aside, but not those with most of the text that fills slots.
+
+    That is the text inside articles and main elements, if any has some, else that of the page.
+    """
+    weak: list[tuple[Node, int, int]] = []
+
+    def walk(node: Node, path: tuple[int, ...], constant: bool, main: bool) -> tuple[int, int]:
+        every = inside = 0
+        for c in node.children:
+            if isinstance(c, str):
+                n = 0 if constant else len(c) - c.count(" ")
+                every, inside = every + n, inside + n * main
+            elif not c.aside:
+                at = (*path, c.fold or 0)
+                a, b = walk(c, at, at in template if c.tag in BLOCKS else constant, main or c.main >= 1)
+                every, inside = every + a, inside + b
+                if c.weak:
+                    weak.append((c, a, b))
+        return every, inside
+
+    every, inside = walk(root, (), () in template, False)
+    for node, a, b in weak:
+        node.aside = 2 * b <= inside if inside else 2 * a <= every
+
+
 def _size(node: Node) -> int:
     """Characters of text that is not aside."""
     return sum(len(c) if isinstance(c, str) else 0 if c.aside else _size(c) for c in node.children)
@@ -295,6 +322,7 @@ def extract(pages: list[str | None]) -> list[str]:
     out = []
     for tree, f in zip(trees, folded, strict=True):
         template = {p for p, q in maps[f.key].items() if q in constant} if constant else set()
+        settle(tree, template)
         out.append("\n".join(b for node, path in content_roots(tree) for b in blocks(node, path, template)))
     return out
 

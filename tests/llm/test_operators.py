@@ -186,6 +186,19 @@ def test_html():
     assert html_extract.extract([None, "", "<p>open <b>tags", "<article><p>cut <a hre", "a < b", "<!-- x", "<p>" * 3000 + "deep"]) == ["", "", "open tags", "cut", "a < b", "", "deep"]
 
 
+def test_html_aside_by_attributes():
+    pages = [
+        '<body class="single has-sidebar"><p style="overflow:hidden">One {0}</p><div data-state="hidden" title="a hidden gem">Two {0}</div><div class="sidebar">Side</div><p hidden>Gone {0}</p><p HIDDEN=hidden>Gone {0}</p></body>',
+        '<main class="content with-sidebar"><p>One {0}</p><p data-id=comments>Two {0}</p></main><div class="ad">Buy much more of this {0}, longer than the text</div>',
+        '<article class="post comments-open"><p>One {0}</p><p alt="class=ad">Two {0}</p></article>',
+        '<div class="page-with-sidebar"><div class=sidebar>Side {0}</div><p>One {0}</p><p>Two {0}</p></div>',
+        '<article><div class="body share-on"><p>One {0}</p><p>Two {0}</p></div><div id=share>Tell</div></article>',
+    ]
+    for page in pages:
+        for n in (1, 9):
+            assert html_extract.extract([page.format(i) for i in range(n)]) == [f"One {i}\nTwo {i}" for i in range(n)], page
+
+
 def test_html_frame(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "CHUNK", 4)
     rows = [(i, f"http://h{i % 2}.org/{i}" if i else None, PAGE.format(i, f"<article><p>Text {i}</p></article>")) for i in range(30)] + [(None, "::", None)]
