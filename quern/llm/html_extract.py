@@ -3,8 +3,8 @@
 Pages of one host, in chunks of bounded size, are parsed into trees; runs of siblings of like structure fold
 into one node. Simple tree matching aligns each folded tree with the chunk's most common one. A node whose
 text is the same on all of at least CONSTANT different pages is template; other text fills slots. The
-content of a page is what fills slots inside its article, or, where no element says so, in its body
-outside of elements that are navigation, forms, notices or the like by tag, role or class.
+content of a page is all that fills slots, in the page's order, outside of elements that are navigation,
+forms, notices or the like by tag or role, or by class or id where no article or most text speaks against it.
 
 Defined results: null and empty pages, and pages without content, give the empty text; unclosed tags end
 with what contains them; an unfinished tag at the end is dropped; pages without a host are a host of their
@@ -241,31 +241,8 @@ def settle(root: Node, template: set[tuple[int, ...]]) -> None:
         node.aside = 2 * b <= inside if inside else 2 * a <= every
 
 
-def _size(node: Node) -> int:
-    """Characters of text that is not aside."""
-    return sum(len(c) if isinstance(c, str) else 0 if c.aside else _size(c) for c in node.children)
-
-
-def content_roots(root: Node) -> list[tuple[Node, tuple[int, ...]]]:
-    """Where the main text is: the article with most text, or a main element, or the whole page."""
-    found: list[tuple[float, int, Node, tuple[int, ...]]] = []
-
-    def walk(node: Node, path: tuple[int, ...]) -> None:
-        for c in node.children:
-            if not isinstance(c, str) and not c.aside:
-                if c.main:
-                    found.append((c.main, _size(c), c, (*path, c.fold or 0)))
-                walk(c, (*path, c.fold or 0))
-
-    walk(root, ())
-    for rank in (2, 1, 0.5):
-        if (best := max((x for x in found if x[0] == rank), key=lambda x: x[1], default=None)) and best[1]:
-            return [best[2:]]
-    return [(root, ())]
-
-
-def blocks(node: Node, path: tuple[int, ...], template: set[tuple[int, ...]]) -> list[str]:
-    """The texts of the blocks of a subtree, without what is aside or template."""
+def blocks(root: Node, template: set[tuple[int, ...]]) -> list[str]:
+    """The texts of the blocks of a page, in its order, without what is aside or template: all that fills slots."""
     out: list[str] = []
     now: list[str] = []
 
@@ -275,25 +252,25 @@ def blocks(node: Node, path: tuple[int, ...], template: set[tuple[int, ...]]) ->
                 out.append(text)
             now.clear()
 
-    def walk(x: Node, p: tuple[int, ...], constant: bool) -> None:
+    def walk(x: Node, p: tuple[int, ...], constant: bool, main: bool) -> None:
         for c in x.children:
             if isinstance(c, str):
                 if not constant:
                     now.append(c)
             elif c.tag == "br":
                 now.append(" ")
-            elif not c.aside or c.tag == "header" and path and not c.words:
+            elif not c.aside or c.tag == "header" and main and not c.words:
                 at = (*p, c.fold or 0)
                 if c.tag in BLOCKS:
                     close()
-                    walk(c, at, at in template)
+                    walk(c, at, at in template, main or c.main > 0)
                     close()
                 else:
-                    walk(c, at, constant)
+                    walk(c, at, constant, main or c.main > 0)
             elif c.tag in BLOCKS:
                 close()
 
-    walk(node, path, path in template)
+    walk(root, (), () in template, False)
     close()
     return out
 
@@ -323,7 +300,7 @@ def extract(pages: list[str | None]) -> list[str]:
     for tree, f in zip(trees, folded, strict=True):
         template = {p for p, q in maps[f.key].items() if q in constant} if constant else set()
         settle(tree, template)
-        out.append("\n".join(b for node, path in content_roots(tree) for b in blocks(node, path, template)))
+        out.append("\n".join(blocks(tree, template)))
     return out
 
 

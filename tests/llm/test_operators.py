@@ -199,6 +199,13 @@ def test_html_aside_by_attributes():
             assert html_extract.extract([page.format(i) for i in range(n)]) == [f"One {i}\nTwo {i}" for i in range(n)], page
 
 
+def test_html_joins_all_slots():
+    for tag in ("article", "main", "div class=entry", "div class='content'", "div", "section"):
+        one = f"<{tag}><p>{{}} {{{{0}}}}</p></{tag.split()[0]}>"
+        page = "<body><nav>N {0}</nav><p>By {0}</p>" + one.format("One") + one.format("Two and more") + "<h5>Fixed line</h5><p>After {0}</p><footer>F {0}</footer></body>"
+        assert html_extract.extract([page.format(i) for i in range(9)]) == [f"By {i}\nOne {i}\nTwo and more {i}\nAfter {i}" for i in range(9)], tag
+
+
 def test_html_frame(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "CHUNK", 4)
     rows = [(i, f"http://h{i % 2}.org/{i}" if i else None, PAGE.format(i, f"<article><p>Text {i}</p></article>")) for i in range(30)] + [(None, "::", None)]
