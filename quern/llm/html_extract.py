@@ -1,10 +1,12 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host, in chunks of bounded size, are parsed into trees; runs of siblings of like structure fold
-into one node. Simple tree matching aligns each folded tree with the chunk's most common one. A node whose
-text is the same on all of at least CONSTANT different pages is template; other text fills slots. The
-content of a page is all that fills slots, in the page's order, outside of elements that are navigation,
-forms, notices or the like by tag or role, or by class or id where no article or most text speaks against it.
+Pages are parsed into trees. Their nodes are aligned by place: the labels on the way from the root, like siblings
+sharing one, so that all that simple tree matching could pair is aligned. The blocks of all pages of a host are
+counted by place and text, each different page once, whatever their number and lengths. A text that stands at its
+place on at least CONSTANT different pages, and on half of the host's that have the place, is template; other text
+fills slots. The content of a page is all that fills slots, in the page's order, outside of elements that are
+navigation, forms, notices or the like by tag or role, or by class or id where no article or most text speaks
+against it.
 
 Defined results: null and empty pages, and pages without content, give the empty text; unclosed tags end
 with what contains them; an unfinished tag at the end is dropped; pages without a host are a host of their
@@ -14,18 +16,20 @@ own. White space is what Unicode says. Repeated rows give equal rows; no page is
 from __future__ import annotations
 
 import html as entities
+import json
 import re
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, tidied
 
-#: Pages and characters of a chunk, about.
-CHUNK, CHUNK_CHARS = 64, 2_000_000
-#: Parts that the pages of a host with several chunks are joined in.
+#: Pages that are parsed before their blocks are handed on.
+CHUNK = 64
+#: Parts that the pages of a common host are joined in.
 SALTS = 64
 #: Different pages that must agree before their common text counts as template.
 CONSTANT = 5
@@ -51,10 +55,10 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("aside", "children", "fold", "main", "tag", "weak", "words")
+    __slots__ = ("aside", "children", "main", "tag", "weak", "words")
 
     def __init__(self, tag: str, attributes: str):
-        self.tag, self.children, self.words, self.fold = tag, [], "", None
+        self.tag, self.children, self.words = tag, [], ""
         self.aside, self.main, self.weak = tag in ASIDE, 2 * (tag == "article") or tag == "main", False
         if attributes and not attributes.isspace():
             words: list[str] = []
@@ -69,12 +73,19 @@ class Node:
                     words += _PARTS.split(value)
             if words:
                 self.words = " ".join(sorted(set(words) - {""}))
-                # words alone are a hint, which `settle` takes up
+                # words alone are a hint, which `main_text` takes up
                 self.weak = tag not in ("html", "body") and self.main < 1 and not ASIDE_WORDS.isdisjoint(words)
                 if not self.main and tag in ("div", "section") and not MAIN_WORDS.isdisjoint(words):
                     self.main = 0.5
 
 
+    def label(self) -> str:
+        """What nodes at like places share: tag and words, without numbers; the whole page's words are often its own."""
+        if not self.words or self.tag in ("html", "body"):
+            return self.tag
+        return " ".join([self.tag, *(w for w in self.words.split() if not w.isdigit())])
+
+
 def parse(html: str) -> Node:
     """The page's tree: nodes hold nodes and strings."""
     root = Node("#page", "")
@@ -126,182 +137,135 @@ def parse(html: str) -> Node:
     return root
 
 
-class Folded:
-    """A node of a folded tree: a run of siblings of like structure."""
+def _hash(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
-    __slots__ = ("children", "key", "label")
 
-    def __init__(self, label: str, children: tuple[Folded, ...]):
-        self.label, self.children = label, children
-        self.key = (label, tuple(c.key for c in children))
+def _bytes(n: int) -> bytes:
+    return n.to_bytes(8, "little", signed=True)
 
 
-def fold(node: Node, known: dict) -> Folded:
-    """The folded tree of a page; each of the page's nodes learns where it went."""
-    out: list[Folded] = []
-    for c in node.children:
-        if isinstance(c, str):
-            continue
-        f = fold(c, known)
-        if out and out[-1].key == f.key:
-            c.fold = len(out) - 1
-            continue
-        # a run of like labels whose structures alternate folds too: the larger stands for both
-        if len(out) > 1 and out[-1].label == f.label and out[-2].label == f.label:
-            if len(f.children) > len(out[-1].children):
-                out[-1] = f
-        else:
-            out.append(f)
-        c.fold = len(out) - 1
-    key = (f"{node.tag} {node.words}", tuple(c.key for c in out))
-    if key not in known:
-        known[key] = Folded(key[0], tuple(out))
-    return known[key]
-
-
-def align(a: Folded, b: Folded) -> dict[tuple[int, ...], tuple[int, ...]]:
-    """Simple tree matching: paths in a to paths in b of the largest matching that keeps order and depth."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: Folded, y: Folded) -> tuple[int, list]:
-        if x.label != y.label:
-            return 0, []
-        if (k := (id(x), id(y))) in memo:
-            return memo[k]
-        m, n = len(x.children), len(y.children)
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        pair = [[match(c, d)[0] for d in y.children] for c in x.children]
-        for i in range(m):
-            for j in range(n):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + pair[i][j])
-        i, j, chosen = m, n, []
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                chosen.append((i, j))
-        memo[k] = best[m][n] + 1, chosen
-        return memo[k]
-
-    out: dict[tuple[int, ...], tuple[int, ...]] = {}
-
-    def walk(x: Folded, y: Folded, p: tuple[int, ...], q: tuple[int, ...]) -> None:
-        out[p] = q
-        for i, j in match(x, y)[1]:
-            walk(x.children[i], y.children[j], (*p, i), (*q, j))
-
-    if match(a, b)[0]:
-        walk(a, b, (), ())
-    return out
+def _inside(place: int, label: str) -> int:
+    """The place of a node in one at `place`: a hash of the labels on the way to it."""
+    if (k := (place, label)) not in _places:
+        if len(_places) > 100_000:
+            _places.clear()
+        _places[k] = _hash(_bytes(place), label.encode("utf-8", "replace"))
+    return _places[k]
 
 
-def texts_by_path(root: Node) -> dict[tuple[int, ...], str]:
-    """The text of the blocks of each folded path, inline elements included."""
-    out: dict[tuple[int, ...], list[str]] = defaultdict(list)
+_places: dict[tuple[int, str], int] = {}
 
-    def walk(node: Node, path: tuple[int, ...], block: tuple[int, ...]) -> None:
-        for c in node.children:
-            if isinstance(c, str):
-                if not c.isspace():
-                    out[block].append(c)
-            else:
-                at = (*path, c.fold)
-                walk(c, at, at if c.tag in BLOCKS else block)
 
-    walk(root, (), ())
-    return {k: "\n".join(v) for k, v in out.items()}
+def _clean(text: str) -> str:
+    return " ".join(entities.unescape(text).split())
 
 
-def settle(root: Node, template: set[tuple[int, ...]]) -> None:
-    """Elements whose class or id says so become aside, but not those with most of the text that fills slots.
+class Block:
+    """Text between two edges of block elements: its place, and runs (text, inside an article or main element, weak elements around it)."""
 
-    That is the text inside articles and main elements, if any has some, else that of the page.
-    """
-    weak: list[tuple[Node, int, int]] = []
+    __slots__ = ("place", "runs", "weak")
 
-    def walk(node: Node, path: tuple[int, ...], constant: bool, main: bool) -> tuple[int, int]:
-        every = inside = 0
-        for c in node.children:
-            if isinstance(c, str):
-                n = 0 if constant else len(c) - c.count(" ")
-                every, inside = every + n, inside + n * main
-            elif not c.aside:
-                at = (*path, c.fold or 0)
-                a, b = walk(c, at, at in template if c.tag in BLOCKS else constant, main or c.main >= 1)
-                every, inside = every + a, inside + b
-                if c.weak:
-                    weak.append((c, a, b))
-        return every, inside
+    def __init__(self, place: int, weak: tuple[int, ...], runs: list):
+        self.place, self.weak, self.runs = place, weak, runs
 
-    every, inside = walk(root, (), () in template, False)
-    for node, a, b in weak:
-        node.aside = 2 * b <= inside if inside else 2 * a <= every
+    def own(self) -> str:
+        """What its place and others' are compared by: the text outside of weak inline elements."""
+        return _clean("".join(t for t, _, weak in self.runs if len(weak) == len(self.weak)))
 
 
-def blocks(root: Node, template: set[tuple[int, ...]]) -> list[str]:
-    """The texts of the blocks of a page, in its order, without what is aside or template: all that fills slots."""
-    out: list[str] = []
-    now: list[str] = []
+def blocks(root: Node) -> list[Block]:
+    """The blocks of a page, in its order, without what is aside by tag or role. Weak elements are numbered."""
+    out: list[Block] = []
+    now: list = []
+    n_weak = 0
+    # children still to come, the block they are text of (place, weak), their own place, within an article or main, weak elements around
+    todo: list = [(iter(root.children), (0, ()), 0, 0, ())]
 
-    def close() -> None:
+    def close(block: tuple) -> None:
         if now:
-            if text := " ".join(entities.unescape("".join(now)).split()):
-                out.append(text)
+            if any(not t.isspace() for run in now for t in run[0]):
+                out.append(Block(*block, [("".join(run[0]), *run[1:]) for run in now]))
             now.clear()
 
-    def walk(x: Node, p: tuple[int, ...], constant: bool, main: bool) -> None:
-        for c in x.children:
+    def add(text: str, main: bool, weak: tuple[int, ...]) -> None:
+        if now and now[-1][1:] == (main, weak):
+            now[-1][0].append(text)
+        else:
+            now.append(([text], main, weak))
+
+    while todo:
+        children, block, place, main, weak = todo[-1]
+        for c in children:
             if isinstance(c, str):
-                if not constant:
-                    now.append(c)
+                add(c, main >= 1, weak)
             elif c.tag == "br":
-                now.append(" ")
+                add(" ", main >= 1, weak)
             elif not c.aside or c.tag == "header" and main and not c.words:
-                at = (*p, c.fold or 0)
+                at, around = _inside(place, c.label()), weak
+                if c.weak:
+                    around, n_weak = (*weak, n_weak), n_weak + 1
+                own = block
                 if c.tag in BLOCKS:
-                    close()
-                    walk(c, at, at in template, main or c.main > 0)
-                    close()
-                else:
-                    walk(c, at, constant, main or c.main > 0)
+                    close(block)
+                    own = at, around
+                todo.append((iter(c.children), own, at, max(main, c.main), around))
+                break
             elif c.tag in BLOCKS:
-                close()
-
-    walk(root, (), () in template, False)
-    close()
+                close(block)
+        else:
+            todo.pop()
+            if todo and todo[-1][1] is not block:
+                close(block)
+    close((0, ()))
     return out
 
 
+def keys(host: str, page: list[Block]) -> tuple[list[int], list[int], int]:
+    """(places, places with their text) of a page's blocks within its host, and a hash of the page that equal pages share."""
+    h = host.encode("utf-8", "replace")
+    places = [_hash(h, _bytes(b.place)) for b in page]
+    texts = [_hash(_bytes(p), b.own().encode("utf-8", "replace")) for p, b in zip(places, page, strict=True)]
+    return places, texts, _hash(*(_bytes(t) for t, b in zip(texts, page, strict=True) if not b.weak))
+
+
+def main_text(page: list[Block], texts: list[int], template: frozenset[int] | set[int]) -> str:
+    """The text of the blocks that fill slots.
+
+    Elements whose class or id says so are aside, but not those with most of the text that fills slots: of that
+    inside articles and main elements, if any has some, else of the page's.
+    """
+    kept = [b for b, t in zip(page, texts, strict=True) if t not in template] if template else page
+    every, inside = Counter(), Counter()
+    for b in kept:
+        for t, main, weak in b.runs:
+            n = len(t) - t.count(" ")
+            for w in (-1, *weak):
+                every[w] += n
+                inside[w] += n * main
+    size = inside if inside[-1] else every
+    aside = {w for w in every if w >= 0 and 2 * size[w] <= size[-1]}
+    lines = (_clean("".join(t for t, _, weak in b.runs if aside.isdisjoint(weak))) for b in kept)
+    return "\n".join(x for x in lines if x)
+
+
+def is_template(pages: int, of: int) -> bool:
+    """Whether a text on so many different pages of a host, of those that have its place, is template; of columns too."""
+    return (pages >= CONSTANT) & (2 * pages >= of)
+
+
 def extract(pages: list[str | None]) -> list[str]:
-    """The main texts of pages of one host, which are aligned with each other."""
-    known: dict = {}
-    trees = [parse(p or "") for p in pages]
-    folded = [fold(t, known) for t in trees]
-    base = max(Counter(f.key for f in folded).items(), key=lambda x: (x[1], str(x[0])), default=(None, 0))[0]
-    base = known.get(base)
-    maps = {f.key: align(f, base) for f in {f.key: f for f in folded}.values()}
-    seen: dict[tuple[int, ...], Counter] = defaultdict(Counter)
-    different = set()
-    if len(pages) >= CONSTANT:
-        for tree, f in zip(trees, folded, strict=True):
-            texts = texts_by_path(tree)
-            if (whole := tuple(sorted(texts.items()))) in different:
-                continue
-            different.add(whole)
-            to = maps[f.key]
-            for path, text in texts.items():
-                if path in to:
-                    seen[to[path]][text] += 1
-    constant = {p for p, texts in seen.items() if len(texts) == 1 and texts.total() >= max(CONSTANT, len(different) // 2)}
-    out = []
-    for tree, f in zip(trees, folded, strict=True):
-        template = {p for p, q in maps[f.key].items() if q in constant} if constant else set()
-        settle(tree, template)
-        out.append("\n".join(blocks(tree, template)))
-    return out
+    """The main texts of pages that make up one host."""
+    found = [blocks(parse(p or "")) for p in pages]
+    known = [keys("", b) for b in found]
+    stand, of, place_of = defaultdict(set), defaultdict(set), {}
+    for places, texts, page in known:
+        for p, t in zip(places, texts, strict=True):
+            place_of[t] = p
+            of[p].add(page)
+            stand[t].add(page)
+    template = {t for t, on in stand.items() if is_template(len(on), len(of[place_of[t]]))}
+    return [main_text(b, texts, template) for b, (_, texts, _) in zip(found, known, strict=True)]
 
 
 def host_of(url):
@@ -310,16 +274,41 @@ def host_of(url):
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
-    host = host_of(F.col("url"))
-    sizes = pages.select(host.alias("host"), F.coalesce(F.length("html"), F.lit(0)).alias("n")).groupBy("host").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_CHARS)).alias("chunks"))
-    # hosts of one chunk need no row here; Spark broadcasts the written table if it is small, and salts split a common host if not
-    large = Scratch(pages.sparkSession, "html").keep(sizes.filter("chunks > 1").select("host", "chunks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "large")
-    place = F.xxhash64("page_id", "url")
-    rows = pages.select("page_id", "url", "html", host.alias("host"), F.pmod(place, F.lit(SALTS)).cast("int").alias("salt")).join(large, ["host", "salt"], "left")
-    rows = rows.select("page_id", "url", "html", "host", F.coalesce(F.pmod(place, F.col("chunks")), F.lit(0)).alias("chunk"))
-
-    def induce(rows: pd.DataFrame) -> pd.DataFrame:
-        texts = extract([x if isinstance(x, str) else None for x in rows["html"]])
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    return rows.groupBy("host", "chunk").applyInPandas(induce, "page_id bigint, url string, text string, n_chars bigint")
+
+    @tidied
+    def read(batches):
+        for batch in batches:
+            for a in range(0, len(batch), CHUNK):
+                part = batch.slice(a, CHUNK)
+                out = ([], [], [], [])
+                for html, host in zip(part.column("html"), part.column("host").to_pylist(), strict=True):
+                    page = blocks(parse(html.as_py() or ""))
+                    for column, x in zip(out, (*keys(host, page), json.dumps([(b.weak, b.runs) for b in page], ensure_ascii=False)), strict=True):
+                        column.append(x)
+                kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host")), *map(pa.array, out, kinds)], ["page_id", "url", "host", "places", "texts", "page", "blocks"])
+
+    scratch = Scratch(pages.sparkSession, "html")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    parsed = scratch.keep(rows.mapInArrow(read, "page_id bigint, url string, host string, places array<bigint>, texts array<bigint>, page bigint, blocks string"), "parsed")
+    # each different page counts once: rows of 64-bit numbers, dealt by all of them, then summed where they are
+    pair = F.explode(F.array_distinct(F.arrays_zip("places", "texts"))).alias("x")
+    stand = parsed.select("host", "page", pair).select("host", "page", "x.places", "x.texts").distinct()
+    on = stand.groupBy("host", "places", "texts").agg(F.count("*").alias("n")).filter(F.col("n") >= CONSTANT)
+    of = stand.select("places", "page").distinct().groupBy("places").agg(F.count("*").alias("of")).filter(F.col("of") >= CONSTANT)
+    # at a place at least half of its pages agree on: few texts for a host; salts split a common host if Spark doesn't broadcast
+    chosen = on.join(of, "places").filter(is_template(F.col("n"), F.col("of"))).groupBy("host").agg(F.collect_set("texts").alias("template"))
+    template = scratch.keep(chosen.select("host", "template", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), "template")
+    salted = parsed.select("page_id", "url", "host", "texts", "blocks", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"))
+    judged = salted.join(template, ["host", "salt"], "left").select("page_id", "url", "texts", "blocks", "template")
+
+    @tidied
+    def write(batches):
+        for batch in batches:
+            out = []
+            for texts, found, constant in zip(batch.column("texts"), batch.column("blocks"), batch.column("template"), strict=True):
+                page = [Block(0, weak, runs) for weak, runs in json.loads(found.as_py())]
+                out.append(main_text(page, texts.as_py(), set(constant.as_py() or ())))
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return judged.mapInArrow(write, "page_id bigint, url string, text string, n_chars bigint")

@@ -214,6 +214,21 @@ def test_html_frame(spark, monkeypatch):
     assert html_extract.main_texts(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_html_template_by_host(spark):
+    lines = "<ul><li>Item {0}</li><li>Same item</li></ul><p>Text {0}</p><p>Same line</p>"
+    rows = [(i, f"http://h.org/{i}", lines.format(i)) for i in range(9)] + [(9, "http://h.org/9", lines.format("y" * 21_000_000)), (10, "http://g.org/", lines.format(1))]
+    # on a fifth of the pages of its place a text is no template; copies count once
+    rows += [(20 + i, f"http://k.org/{i}", f"<p>{'Often' if i < 6 else 'Seldom'} {0 if i < 6 else i}</p><p>By {i}</p>") for i in range(30)]
+    rows += [(60 + i, "http://c.org/", "<p>Copy</p>") for i in range(9)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_extract.main_texts(frame).collect()}
+    assert {i: got[i] for i in range(9)} == {i: f"Item {i}\nText {i}" for i in range(9)}
+    assert len(got[9]) == 42_000_011 and got[10] == "Item 1\nSame item\nText 1\nSame line"
+    assert got[20] == "Often 0\nBy 0" and got[60] == "Copy" and len(got) == len(rows)
+    assert html_extract.extract([lines.format(i) for i in range(80)]) == [f"Item {i}\nText {i}" for i in range(80)]
+    assert html_extract.extract(["<div>" * 5000 + "deep"]) == ["deep"]
+
+
 def targets(sizes):
     """Shares by weight, capped at three times the size, the excess reshared."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
