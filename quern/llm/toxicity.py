@@ -1,7 +1,8 @@
 """Toxic documents by a support vector machine over a subsequence string kernel, with Nystroem landmarks.
 
 Two words are as similar as the character subsequences of length LENGTH they share, each weighted by
-DECAY to the power of the stretch it spans, so inserted and missing characters cost a factor and not the match.
+DECAY to the power of the stretch it spans, so inserted and missing characters cost a factor of the similarity; a
+short word that loses too much by it is missed (README has the share).
 A document is a bag of words of which the most toxic one decides (multiple instances): training alternates
 between naming the words that explain each toxic document and fitting the machine on Nystroem features
 of those against the words of clean documents, of which each round adds the worst mistaken ones.
@@ -39,8 +40,6 @@ LENGTH, SPAN, DECAY = 4, 6, 0.7
 LANDMARKS, ROUNDS = 240, 3
 #: Strength from which a word explains a document.
 CLEAR = 4.0
-#: Of the strongest insults so many are learned in disturbed spellings too.
-DISTURBED = 60
 THRESHOLD = 0.3
 #: The margin of no evidence, below which none counts.
 NOTHING = -1.0
@@ -266,8 +265,8 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
         kmm = _kernel(marks, marks).astype(np.float64)
         value, vector = np.linalg.eigh(kmm + 1e-6 * np.eye(len(marks)))
         root = vector / np.sqrt(np.maximum(value, 1e-4))
-        # the insults that explain most documents are also learned with a letter put in
-        put_in = [_disturbed(shape(w), rng) for w in positive[:DISTURBED] for _ in range(3)]
+        # each insult is also learned with a letter put in
+        put_in = [_disturbed(shape(w), rng) for w in positive for _ in range(3)]
         words = [shape(w) for w in positive] + put_in + [shape(w) for w in negative]
         x = _kernel(words, marks).astype(np.float64) @ root
         y = np.r_[np.ones(len(positive) + len(put_in)), -np.ones(len(negative))]

@@ -172,6 +172,25 @@ def test_pruning_skips_no_better_score():
         assert sorted(zip(-s[a == k - 20], b[a == k - 20], strict=True)) == want
 
 
+def test_toxicity_letter_put_in():
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary = [word(r.randint(3, 9)) for _ in range(1500)]
+    insults = [word(r.randint(5, 9)) for _ in range(200)]
+    rows = [(" ".join(r.choices(vocabulary, k=20)), 0) for _ in range(800)] + [(" ".join([*r.choices(vocabulary, k=20), insults[i % 200]]), 1) for i in range(800)]
+
+    def put_in(w):
+        at = r.randint(1, len(w) - 1)
+        return w[:at] + word(1) + w[at:]
+
+    hidden = [" ".join([*r.choices(vocabulary, k=20), put_in(w)]) for w in insults for _ in range(2)]
+    clean = [" ".join([*r.choices(vocabulary, k=20), put_in(r.choice(vocabulary))]) for _ in range(400)]
+    machine = toxicity.fit(rows)
+    flagged = lambda texts: sum(machine.score(toxicity.best(w, machine.learn(w))) >= toxicity.THRESHOLD for w in map(toxicity.words_of, texts))
+    # far from all; 44 with the commonest 60 insults alone learned so
+    assert flagged(hidden) >= 90 and flagged(clean) <= 4
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header class=top>Site &copy;</header><nav><ul><li><a href="/">Home</a></li><li>About {0}</li></ul></nav>
 <div class="ad">Buy {0}</div>{1}<div id="cookie-notice">We use cookies</div><aside>Side {0}</aside><form><label>Name</label><input></form><section class="comments"><p>First! {0}</p></section><footer>End &middot; {0}</footer></body></html>"""
 
