@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quern.llm import html_extract, media, mixing, near_dedup, packing, pii, substring_dedup, topk, toxicity
 
@@ -283,6 +284,31 @@ def test_mixing(spark, none, odd, monkeypatch):
     assert again == {(x.doc_id, x.taken) for x in out}
     assert mixing.mix(none).count() == 0
     assert mixing.mix(odd).count() == 6
+    assert mixing.mixed(none).count() == 0
+
+
+def test_mixing_targets_of_many_sources(spark, tmp_path):
+    r = random.Random(9)
+    for n in (1, 2, 5, 40):
+        sizes = {f"s{i:03}": r.choice([0, 1, 7, 50, 900, 10_000]) for i in range(n)}
+        frame = spark.createDataFrame([(s, z, 1) for s, z in sizes.items()], "source string, size bigint, m bigint").repartition(3)
+        got = {x.source: x.target for x in mixing.source_targets(frame, mixing.Scratch(spark, "t")).collect()}
+        assert got == pytest.approx(targets(sizes)), sizes
+
+
+def test_mixed_rows_as_often_as_taken(spark):
+    """Repeated rows, rows without an id, ids that equal another's hash, long texts and clashing columns."""
+    rows = [(7, "a b c", "en", "x", 1, 5, "k", "r")] * 300 + [(None, "d e", "en", "x", 1, 5, "k", "r")] * 3 + [(None, None, None, None, None, None, None, None)] * 2
+    rows += [(i, " ".join(["w"] * (i % 9)), "en", "yz"[i % 2], 1, i, "k", "r") for i in range(100, 400)] + [(900, "long " * 50_000, "en", "x", 1, 5, "k", "r"), (7, "a b c", "en", "y", 1, 5, "k", "r")]
+    frame = spark.createDataFrame(rows, SCHEMA + ", copies int, key string, row string").repartition(5)
+    columns = F.struct(*frame.columns)
+    drawn = mixing.drawn(frame.select(F.md5(F.to_json(columns)).alias("key"), "source", "text"), mixing.Scratch(spark, "t")).groupBy("key").agg(F.sum("copies").alias("n")).filter("n > 0").collect()
+    out = mixing.mixed(frame)
+    assert out.schema.simpleString() == frame.schema.simpleString()
+    got = {x.key: x.n for x in out.groupBy(F.md5(F.to_json(columns)).alias("key")).agg(F.count("*").alias("n")).collect()}
+    assert got == {x.key: x.n for x in drawn}
+    repeats = out.filter("doc_id = 7 and source = 'x'").count()
+    assert 0 < repeats <= 900 and out.filter("doc_id is null and source = 'x'").count() <= 9
 
 
 def test_packing(spark, docs, none, odd):

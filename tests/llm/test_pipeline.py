@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm import pii
@@ -11,6 +12,7 @@ from . import brute
 
 DIR = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+M = 1 << 60
 
 
 def test_stages(spark, tmp_path):
@@ -48,3 +50,28 @@ def test_empty(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, DIR)
         assert docs.count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Nulls in any column, repeated rows, ties, long texts, ids of several texts, and extra columns with clashing names."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(60)
+    extra = "row", "key", "k", "copies", "_key", "words", "score"
+    rows = [(None, None, None, None, None), (5 + M, None, None, None, None), (5 + M, "", "en", "s", 0), (7 + M, "one two three four five six", "en", "s", 27), (7 + M, "one two three four five six", "en", "s", 27)]
+    rows += [(7 + M, "quite another text under one id", "en", None, 31), (None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (11 + M, "long words " * 30_000, "en", "s", 330_000)]
+    odd = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(*[F.col(f.name).cast(f.dataType) for f in docs.schema]))
+    odd = odd.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    labels = f"{tmp_path}/labels.parquet"
+    spark.read.parquet(f"{DIR}/labels.parquet").write.parquet(labels)
+    now, names = odd, odd.columns
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / f"odd-{name}"))
+        now = spark.read.parquet(str(tmp_path / f"odd-{name}"))
+        counts[name] = now.count()
+        if name != "packing":
+            assert now.columns == names
+        if name == "near_dedup":
+            texts = [r.text for r in now.filter(F.col("doc_id") == 7 + M).collect()]
+            assert sorted(texts) == ["one two three four five six", "quite another text under one id"]
+            assert now.filter("doc_id is null").count() == 3
+    assert counts["packing"] >= counts["mixing"] > 0
