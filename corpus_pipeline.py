@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from quern.llm import mixing, near_dedup, packing, pii, toxicity
 from quern.llm.common import Scratch, load
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, trained on the labelled ones, doesn't judge toxic."""
@@ -20,13 +22,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Rows without a doc_id stay."""
+    """One document of each group: the one with the smallest doc_id. Rows without a doc_id stay; so do rows that share one but not their words."""
     kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id")
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    known = docs.filter("doc_id is not null").join(kept.distinct(), "doc_id", "left_semi")
-    if not ids.filter("n > 1").isEmpty():  # repeated rows are a group too
-        known = known.dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    known = docs.filter("doc_id is not null")
+    once = known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    known = known.join(kept.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    if not once:  # repeated rows are a group too
+        words = F.md5(F.trim(F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _UPPER, _UPPER.lower()), r"[\x20\x09-\x0D]+", " ")))
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        known = known.select("doc_id", words.alias("words"), row.alias("row")).groupBy("doc_id", "words").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    return known.unionByName(docs.filter("doc_id is null"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +40,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows without a doc_id go by their text."""
-    key = F.coalesce("doc_id", F.xxhash64("text"))
-    keyed = docs.withColumn("_key", key)
-    mixed = mixing.mix(keyed.select(F.col("_key").alias("doc_id"), "text", "source")).filter("copies > 0").select(F.col("doc_id").alias("_key"), "copies")
-    return keyed.join(mixed, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
