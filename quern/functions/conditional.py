@@ -14,12 +14,17 @@ def _typeof(x: str) -> str:
     return f"CASE WHEN ({x}) IS NULL THEN 'NULL' ELSE CASE typeof({x}) {cases} ELSE CASE WHEN typeof({x}) LIKE 'decimal%' THEN 'FLOAT' WHEN typeof({x}) LIKE 'array%' THEN 'VECTOR' ELSE 'TEXT' END END END"
 
 
+#: Accented letters and what NOACCENT compares them as.
+_ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
 def _collate(x: str, name: str) -> str:
     name = name.strip("'").upper()
     if name in ("NOCASE", "CASE_INSENSITIVE"):
         return f"lower({x})"
     if name in ("NOACCENT", "ACCENT_INSENSITIVE"):
-        return f"translate({x}, 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy')"
+        return f"translate({x}, '{_ACCENTED}', '{_PLAIN}')"
     if name in ("BINARY", "NUMERIC"):
         return x
     raise ValueError(f"no collation {name}")

@@ -60,7 +60,10 @@ def extract(field: str, ts: str) -> str:
 
 def _add(sign: str):
     def add(ts: str, n: str, unit: str = "'day'") -> str:
-        return f"timestampadd({_literal(unit).upper().rstrip('S')}, CAST({sign}({n}) AS INT), {moment(ts)})"
+        u, at = _literal(unit).upper().rstrip("S"), moment(ts)
+        if u in ("YEAR", "MONTH"):  # these go by whole seconds
+            at = f"date_trunc('second', {at})"
+        return f"timestampadd({u}, CAST({sign}({n}) AS INT), {at})"
 
     return add
 

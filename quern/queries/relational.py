@@ -102,6 +102,23 @@ statements({
     "agg_min_max_text": "SELECT o_orderstatus, MIN(o_orderpriority) AS a, MAX(o_orderpriority) AS b, MIN(o_orderdate) AS c FROM orders GROUP BY o_orderstatus",
     "distinct": "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",
+    "distinct_on_star": ("SELECT DISTINCT ON (o_custkey) * FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey",),
+    "distinct_on_alias": ("SELECT DISTINCT ON (o_custkey) o_custkey AS c, o_totalprice * 2 AS t FROM orders ORDER BY c, t DESC",),
+    "distinct_on_group_by": ("SELECT DISTINCT ON (o_orderstatus) o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority ORDER BY o_orderstatus, n DESC, o_orderpriority",),
+    "distinct_on_limit": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey DESC, o_orderkey LIMIT 7",),
+    "agg_first_two_keys": (
+        "SELECT o_custkey, FIRST(o_orderkey ORDER BY o_orderpriority, o_totalprice DESC) AS f, LAST(o_orderkey ORDER BY o_orderstatus DESC, o_orderpriority, o_orderkey) AS l FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, first(o_orderkey ORDER BY o_orderpriority, o_totalprice DESC) AS f, last(o_orderkey ORDER BY o_orderstatus DESC, o_orderpriority, o_orderkey) AS l FROM orders GROUP BY o_custkey",
+    ),
+    "agg_array_two_keys": (
+        "SELECT o_custkey, ARRAY_AGG(o_orderkey ORDER BY o_orderpriority DESC, o_orderkey) AS a, STRING_AGG(o_orderstatus, '' ORDER BY o_orderpriority, o_orderkey DESC) AS s FROM orders GROUP BY o_custkey",
+        "SELECT o_custkey, CAST(to_json(list(o_orderkey ORDER BY o_orderpriority DESC, o_orderkey)) AS VARCHAR) AS a, string_agg(o_orderstatus, '' ORDER BY o_orderpriority, o_orderkey DESC) AS s FROM orders GROUP BY o_custkey",
+    ),
+    "filter_glob_column": ("SELECT p_partkey FROM part WHERE p_brand GLOB SUBSTR(p_brand, 1, 7) || '?' AND NOT p_name GLOB LEFT(p_name, 3)", "SELECT p_partkey FROM part WHERE length(p_brand) = 8 AND length(p_name) <> 3"),
+    "filter_like_number": ("SELECT COUNT(*) AS n FROM orders WHERE o_orderkey NOT LIKE '1%' AND NOT (o_orderkey LIKE '%')", "SELECT count(*) AS n FROM orders"),
+    "subq_not_in_with_null": ("SELECT COUNT(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT NULLIF(s_nationkey, 3) FROM supplier)", "SELECT count(*) AS n FROM customer WHERE c_nationkey NOT IN (SELECT nullif(s_nationkey, 3) FROM supplier)"),
+    "subq_not_in_of_null": ("SELECT c_custkey FROM customer WHERE NULLIF(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 4) AND NULLIF(c_nationkey, 5) NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 0)", "SELECT c_custkey FROM customer WHERE nullif(c_nationkey, 3) NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey < 4)"),
+    "cte_hides_table": ("WITH nation AS (SELECT 1 AS one) SELECT one FROM nation",),
     # sorting: a row number carries the order
     "sort_nulls_default": "SELECT k, ROW_NUMBER() OVER (ORDER BY k, c) AS a, ROW_NUMBER() OVER (ORDER BY k DESC NULLS FIRST, c) AS d FROM (SELECT NULLIF(c_nationkey, 4) AS k, c_custkey AS c FROM customer) x",
     "sort_nulls_first": "SELECT k, ROW_NUMBER() OVER (ORDER BY k NULLS FIRST, c) AS a, ROW_NUMBER() OVER (ORDER BY k DESC NULLS LAST, c) AS d FROM (SELECT NULLIF(c_nationkey, 4) AS k, c_custkey AS c FROM customer) x",

@@ -104,6 +104,11 @@ statements({
     "cond_iif": _customer("IIF(c_acctbal > 0, 'plus', 'minus') AS x", "CASE WHEN c_acctbal > 0 THEN 'plus' ELSE 'minus' END AS x"),
     "cond_typeof": _customer("TYPEOF(c_custkey) AS a, TYPEOF(c_acctbal) AS b, TYPEOF(c_name) AS c, TYPEOF(NULLIF(c_nationkey, 3)) AS d, TYPEOF(c_acctbal > 0) AS e", "'INTEGER' AS a, 'FLOAT' AS b, 'TEXT' AS c, CASE WHEN c_nationkey = 3 THEN 'NULL' ELSE 'INTEGER' END AS d, 'BOOLEAN' AS e"),
     "cond_collate": _of("(VALUES (1, 'Ärger'), (2, 'ABC'), (3, 'déjà')) AS v(n, s)", "n", "COLLATE(s, 'NOCASE') AS x, COLLATE(s, 'NOACCENT') AS y, COLLATE(s, 'BINARY') AS z", "lower(s) AS x, strip_accents(s) AS y, s AS z"),
+    "cond_iif_truthy": _customer("IIF(c_nationkey, 'a', 'b') AS x, IIF(NULL, 1, 2) AS y, IIF('false', 1, 2) AS z", "CASE WHEN c_nationkey <> 0 THEN 'a' ELSE 'b' END AS x, 2 AS y, 2 AS z"),
+    "cond_cast_function": _customer("CAST(c_custkey, 'TEXT') AS x", "CAST(c_custkey AS TEXT) AS x"),
+    "cond_now": ("SELECT NOW() >= CURRENT_DATE AND CURRENT_TIMESTAMP >= CURRENT_DATE AND LENGTH(CURRENT_TIME) = 8 AS x, VERSION() <> '' AS y, RANDOM() BETWEEN 0 AND 1 AS z", "SELECT true AS x, true AS y, true AS z"),
+    "math_negate_least": ("SELECT -(0 - 9223372036854775807 - 1) AS x, -(0 - 5) AS y", "SELECT NULL::BIGINT AS x, 5::BIGINT AS y"),
+    "dt_add_month_whole_seconds": ("SELECT DATE_ADD(TIMESTAMP '2024-01-31 10:00:00.5', 1, 'month') AS x, DATE_ADD(TIMESTAMP '2024-01-31 10:00:00.5', 1, 'day') AS y", "SELECT TIMESTAMP '2024-02-29 10:00:00' AS x, TIMESTAMP '2024-02-01 10:00:00.5' AS y"),
     # JSON
     "json_extract": _events("JSON_EXTRACT(props, '$.k') AS x, JSON_EXTRACT(props, '$.none') AS y", "json_extract_string(props, '$.k') AS x, NULL::VARCHAR AS y"),
     "json_arrow": _events("props -> 'k' AS x, props ->> 'k' AS y", "json_extract_string(props, '$.k') AS x, json_extract_string(props, '$.k') AS y"),

@@ -30,6 +30,8 @@ statements({
     "win_over_group_by": "SELECT o_orderstatus, o_orderpriority, RANK() OVER (PARTITION BY o_orderstatus ORDER BY COUNT(*) DESC, o_orderpriority) AS r, COUNT(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority",
     "win_in_expression": "SELECT o_orderkey, ROUND(o_totalprice - LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS x FROM orders",
     "win_count_distinct": ("SELECT o_orderkey, COUNT(DISTINCT o_orderpriority) OVER (PARTITION BY o_custkey) AS x FROM orders",),
+    "win_count_distinct_null": ("SELECT o_orderkey, COUNT(DISTINCT NULLIF(o_orderpriority, '5-LOW')) OVER (PARTITION BY o_custkey) AS x FROM orders",),
+    "win_string_agg_ordered": ("SELECT n_nationkey, STRING_AGG(n_name, ',' ORDER BY n_name DESC) OVER (PARTITION BY n_regionkey) AS x FROM nation", "SELECT n_nationkey, s AS x FROM nation JOIN (SELECT n_regionkey AS r, string_agg(n_name, ',' ORDER BY n_name DESC) AS s FROM nation GROUP BY n_regionkey) ON n_regionkey = r"),
     "win_filter": "SELECT o_orderkey, COUNT(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey) AS x FROM orders",
     "win_nulls_ordering": "SELECT c, ROW_NUMBER() OVER (ORDER BY k, c) AS x FROM (SELECT c_custkey AS c, NULLIF(c_nationkey, 7) AS k FROM customer) t",
     "win_topn_per_group": "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r <= 2",
