@@ -1,11 +1,16 @@
 """Toxic documents by a support vector machine over a subsequence string kernel, with Nystroem landmarks.
 
 Two words are as similar as the character subsequences of length LENGTH they share, each weighted by
-DECAY to the power of the stretch it spans, so inserted and missing characters cost a factor of the similarity; a
-short word that loses too much by it is missed (README has the share).
-A document is a bag of words of which the most toxic one decides (multiple instances): training alternates
-between naming the words that explain each toxic document and fitting the machine on Nystroem features
-of those against the words of clean documents, of which each round adds the worst mistaken ones.
+DECAY to the power of the stretch it spans: inserted, missing and swapped characters cost a factor of the similarity.
+A text's kernel is that of its words, summed. The machine is trained on labelled texts in that space:
+
+* A machine over whole texts, in the kernel of sums, gives every word a margin; a text's own part in it is taken out
+  before its words are judged. What it can't explain may be a word that toxic texts share and no clean one has.
+* Of each toxic text the words it names as the cause, and the worst mistaken words of clean texts, train a machine
+  over words, on Nystroem features; in rounds, this one names the causes anew (multiple instances). It is always
+  asked about texts that it was not trained on: the texts are two halves, and a word that only its own half
+  calls toxic explains nothing.
+* Each cause is also learned with a letter put in, left out or swapped.
 
 The kernel's feature space is finite (32 folded letters), so the machine's landmarks collapse to one
 weight for each subsequence, and a word is scored by adding up the weights of its own subsequences.
@@ -13,9 +18,9 @@ weight for each subsequence, and a word is scored by adding up the weights of it
 The machine is fitted on a bounded sample of labelled rows, SAMPLE of each label at most by order of a
 hash; rows whose crc32(doc_id) mod 4 is 2 are held out. All words of all documents are scored.
 
-Defined results: null and empty texts and texts without letters get the score of no evidence; repeated
-rows get equal scores; labels that repeat or are null teach nothing new. With no labelled rows of one kind, every
-score is the share of toxic labels.
+Defined results: null and empty texts and texts without words of three letters get the score of no evidence;
+repeated rows get equal scores; labels that repeat or are null teach nothing new. With no labelled rows of one kind,
+every score is the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ import heapq
 import re
 import unicodedata
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +42,17 @@ from .common import tidied
 SAMPLE = 2000
 #: Labelled texts of more characters are not in the sample, so that the driver's memory is bounded; others are, whole.
 SAMPLE_CHARS = 100_000
-LENGTH, SPAN, DECAY = 4, 6, 0.7
-LANDMARKS, ROUNDS = 240, 3
-#: Strength from which a word explains a document.
-CLEAR = 4.0
+LENGTH, SPAN, DECAY = 3, 6, 0.8
+LANDMARKS, ROUNDS = 600, 2
+#: Texts of each label that the machine over whole texts is trained on, at most.
+WHOLE = 1000
+#: Spellings that each cause is learned in: with a letter put in, left out, swapped.
+SPELLINGS = ("put_in", "put_in", "put_in", "put_in", "left_out", "left_out", "swapped")
 THRESHOLD = 0.3
 #: The margin of no evidence, below which none counts.
 NOTHING = -1.0
 #: Words of a document that its score rests on.
-BEST = 3
+BEST = 1
 #: Words whose scores a worker remembers.
 REMEMBERED = 200_000
 #: Longer words are scored in overlapping stretches of so many letters.
@@ -103,17 +111,20 @@ def subsequences(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
     flat[row, np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)] = np.frombuffer(b"".join(stretches), np.uint8)
     width = flat.shape[1] - SPAN
     owners, subs, weights = [], [], []
-    for a, b, c in _GAPS:
-        i, j = np.nonzero(flat[:, c : c + width])
+    for places in _GAPS:
+        i, j = np.nonzero(flat[:, places[-1] : places[-1] + width])
+        sub = flat[i, j]
+        for k in places:
+            sub = sub * 32 + flat[i, j + k]
         owners.append(i)
-        subs.append(((flat[i, j] * 32 + flat[i, j + a]) * 32 + flat[i, j + b]) * 32 + flat[i, j + c])
-        weights.append(np.full(len(i), DECAY ** (c + 1)))
+        subs.append(sub)
+        weights.append(np.full(len(i), DECAY ** (places[-1] + 1), np.float32))
     owner, sub, weight = np.concatenate(owners), np.concatenate(subs), np.concatenate(weights)
-    norm = np.sqrt(np.bincount(owner, weight**2, n))
-    return owner, sub, weight / np.maximum(norm, 1e-12)[owner]
+    norm = np.sqrt(np.bincount(owner, weight**2, n)).astype(np.float32)
+    return owner, sub, weight / np.maximum(norm, 1e-9)[owner]
 
 
-_GAPS = [(a, b, c) for a in range(1, SPAN) for b in range(a + 1, SPAN) for c in range(b + 1, SPAN)]
+_GAPS = list(combinations(range(1, SPAN), LENGTH - 1))
 SPACE = 32**LENGTH
 
 
@@ -135,7 +146,7 @@ class Machine:
         stretches, owner = [], []
         for i, w in enumerate(words):
             for s in folded(w):
-                if len(s) > LENGTH:  # shorter words are no evidence
+                if len(s) > LENGTH:  # words of fewer letters are no evidence
                     stretches.append(s)
                     owner.append(i)
         out = np.full(len(words), NOTHING)
@@ -166,7 +177,6 @@ def best(words: set[str], margins: dict[str, float]) -> list[float]:
 
 def _kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     """Kernel values of words against words."""
-
     (oa, sa, wa), (ob, sb, wb) = subsequences(a), subsequences(b)
     space, sb_at = np.unique(sb, return_inverse=True)
     right = np.zeros((len(space), len(b)), np.float32)
@@ -182,41 +192,99 @@ def _kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def _grams(codes: bytes) -> set[bytes]:
-    """A word's beginnings, and its inner grams of LENGTH letters and one more."""
-    n = len(codes)
-    return {codes[:k] for k in range(LENGTH + 1, min(n, 9) + 1)} | {codes[i : i + k] for k in (LENGTH, LENGTH + 1) for i in range(1, n - k + 1)}
-
-
-def _tell(bad: int, good: int, n_bad: int, n_good: int) -> float:
-    """How much more often among toxic documents, weighed by how often at all."""
-    odds = np.log((bad + 0.1) / (n_bad + 1)) - np.log((good + 0.1) / (n_good + 1))
-    return float(odds * np.log1p(bad))
-
-
-def _disturbed(word: bytes, rng: np.random.Generator) -> bytes:
-    """A word with one letter put in, somewhere inside."""
-    at = int(rng.integers(1, len(word)))
-    return word[:at] + bytes([int(rng.integers(1, 27))]) + word[at:]
+def _spelled(word: bytes, how: str, rng: np.random.Generator) -> bytes:
+    """A word with one letter put in, left out or swapped with the next; its start stays, short words keep their letters."""
+    n = len(word)
+    if how == "put_in":
+        at = int(rng.integers(2, n)) if n > 2 else n
+        return word[:at] + bytes([int(rng.integers(1, 27))]) + word[at:]
+    if n < 6:
+        return word
+    at = int(rng.integers(2, n - 1))
+    return word[:at] + (word[at + 1 :] if how == "left_out" else word[at + 1 : at + 2] + word[at : at + 1] + word[at + 2 :])
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps on the active rows; the last weight is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], 1.0)
+    n, m = x.shape
+    w, before = np.zeros(m + 1), None
+    ridge = np.full(m + 1, 1.0)
     ridge[-1] = 1e-3
-    before = None
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        if before is not None and (active == before).all():
+        active = np.flatnonzero(y * (x @ w[:-1].astype(np.float32) + w[-1]) < 1)
+        if before is not None and np.array_equal(active, before):
             break
         before = active
-        a = x[active] * cost[active, None]
-        w = np.linalg.solve(a.T @ x[active] + np.diag(ridge), a.T @ y[active])
+        square, right = np.diag(ridge), np.zeros(m + 1)
+        for k in range(0, len(active), 2048):  # in parts, so that the rows are not held twice
+            at = active[k : k + 2048]
+            part = np.hstack([x[at], np.ones((len(at), 1))])
+            weighed = part * cost[at, None]
+            square += weighed.T @ part
+            right += weighed.T @ y[at]
+        w = np.linalg.solve(square, right)
     return w[:-1], float(w[-1])
 
 
+def _weights(over: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """For each word the sum of `over`, a value for each subsequence, over its own."""
+    out = np.zeros(len(words))
+    for a in range(0, len(words), 4096):
+        part = words[a : a + 4096]
+        o, sub, weight = subsequences(part)
+        out[a : a + 4096] = np.bincount(o, over[sub] * weight, len(part))
+    return out
+
+
+def _whole_texts(bags: list[list[bytes]], y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a value for each subsequence, texts' weights, texts): the machine over whole texts, in the kernel of their words' sums."""
+    x = np.zeros((len(bags), SPACE), np.float16)
+    for i, bag in enumerate(bags):
+        if bag:
+            _, sub, weight = subsequences(bag)
+            row = np.bincount(sub, weight, SPACE)
+            x[i] = row / max(float(np.linalg.norm(row)), 1e-9)
+    gram = np.zeros((len(bags), len(bags)))
+    for k in range(0, SPACE, 4096):  # in parts, so that the texts are not held twice
+        part = x[:, k : k + 4096].astype(np.float32)
+        part -= part.mean(0)
+        gram += part @ part.T
+    # the dual of the squared hinge: kernel ridge on the texts within the margin
+    active, alpha = np.ones(len(y), bool), np.zeros(len(y))
+    ridge = 0.1 * np.trace(gram) / max(1, len(y))
+    for _ in range(20):
+        k = np.flatnonzero(active)
+        alpha[:] = 0.0
+        alpha[k] = np.linalg.solve(gram[np.ix_(k, k)] + ridge * np.eye(len(k)), y[k])
+        now = y * (gram @ alpha) < 1
+        if not now.any() or (now == active).all():
+            break
+        active = now
+    alpha = alpha.astype(np.float32)
+    over = np.concatenate([(alpha - alpha.mean()) @ x[:, k : k + 4096].astype(np.float32) for k in range(0, SPACE, 4096)])
+    return over, alpha, x
+
+
+def _words_machine(causes: Counter, clean: list[bytes], common: Counter, landmarks: int, rng: np.random.Generator) -> tuple[np.ndarray, float]:
+    """(value for each subsequence, bias): the machine over words, on Nystroem features of their kernel. common: clean texts by word."""
+    positive = [w for w, _ in sorted(causes.items(), key=lambda x: (-x[1], x[0]))][:1500]
+    negative = [w for w in clean if w not in causes]
+    marks = positive[: landmarks * 2 // 3] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 3]]
+    value, vector = np.linalg.eigh(_kernel(marks, marks).astype(np.float64) + 1e-6 * np.eye(len(marks)))
+    root = vector / np.sqrt(np.maximum(value, 1e-4))
+    spelled = [(_spelled(w, how, rng), causes[w]) for w in positive for how in SPELLINGS]
+    words = positive + [w for w, _ in spelled] + negative
+    x = _kernel(words, marks) @ root.astype(np.float32)
+    y = np.r_[np.ones(len(positive) + len(spelled)), -np.ones(len(negative))]
+    often = lambda n: 1 + np.log1p(n)
+    cost = np.r_[[2 * often(causes[w]) for w in positive], [often(n) for _, n in spelled], [4 * (1 + common[w]) for w in negative]]
+    w, bias = _svm(x, y, cost)
+    out = np.zeros(SPACE, np.float32)
+    o, sub, weight = subsequences(marks)
+    np.add.at(out, sub, (root @ w)[o] * weight)
+    return out, bias
+
+
 def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds: int = ROUNDS, seed: int = 5) -> Machine:
     """The machine for (text, 0 or 1) rows."""
     n_toxic = sum(y for _, y in docs)
@@ -226,68 +294,67 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
         p = np.clip(n_toxic / max(1, len(docs)), 1e-6, 1 - 1e-6)
         return Machine(none, np.zeros(0), NOTHING, np.zeros(BEST), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
-    # one spelling stands for all that fold alike
-    shape = lambda w: folded(w)[0]
-    form: dict[bytes, str] = {}
-    toxic: list[list[str]] = []
-    clean: list[list[str]] = []
+    bags: dict[int, list[list[bytes]]] = {0: [], 1: []}
     for text, y in docs:
-        (toxic if y else clean).append(sorted({form.setdefault(c, w) for w in words_of(text) if len(c := shape(w)) > LENGTH}))
-    del form
-    bad, good = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    # a word is as suspect as its most telling gram: insults come with endings that no other document repeats
-    gram_bad, gram_good = Counter(), Counter()
-    for b in toxic:
-        gram_bad.update(set().union(*(_grams(shape(w)) for w in b)))
-    repeated = {g for g, n in gram_bad.items() if n > 1}
-    for b in clean:
-        gram_good.update(set().union(*(_grams(shape(w)) & repeated for w in b)))
-    tells = {g: _tell(gram_bad[g], gram_good[g], len(toxic), len(clean)) for g in repeated}
-    strength = {w: max((tells.get(g, 0.0) for g in _grams(shape(w))), default=0.0) + 0.5 * _tell(n, good[w], len(toxic), len(clean)) for w, n in bad.items()}
-    del gram_bad, gram_good, repeated, tells
-    # the word that explains a toxic document, if any does
-    witness: Counter = Counter()
-    for b in toxic:
-        if b and strength[w := max(b, key=lambda w: (strength[w], w))] > CLEAR:
-            witness[w] += 1
-    if not witness:
-        witness.update(max(b, key=lambda w: (strength[w], w)) for b in toxic if b)
-    common = [w for w, _ in good.most_common(300)]
-    known = sorted(good)
-    mistaken = [known[i] for i in rng.permutation(len(known))[:2500]]
-    machine = None
-    for step in range(rounds):
-        first = [w for w, _ in sorted(witness.items(), key=lambda x: (-x[1], x[0]))]
-        positive = first[:1500]
-        negative = sorted(set(common) | set(mistaken) - set(positive))
-        marks = positive[: landmarks * 2 // 3] + [negative[i] for i in rng.permutation(len(negative))[: landmarks // 3]]
-        marks = [shape(m) for m in marks]
-        kmm = _kernel(marks, marks).astype(np.float64)
-        value, vector = np.linalg.eigh(kmm + 1e-6 * np.eye(len(marks)))
-        root = vector / np.sqrt(np.maximum(value, 1e-4))
-        # each insult is also learned with a letter put in
-        put_in = [_disturbed(shape(w), rng) for w in positive for _ in range(3)]
-        words = [shape(w) for w in positive] + put_in + [shape(w) for w in negative]
-        x = _kernel(words, marks).astype(np.float64) @ root
-        y = np.r_[np.ones(len(positive) + len(put_in)), -np.ones(len(negative))]
-        cost = np.r_[[2.0 * (1 + np.log1p(witness[w])) for w in positive], np.full(len(put_in), 2.0), np.full(len(negative), 4.0)]
-        w, bias = _svm(x, y, cost)
-        alpha = root @ w
-        o, s, weight = subsequences(marks)
-        at, inverse = np.unique(s, return_inverse=True)
-        machine = Machine(at, np.bincount(inverse, alpha[o] * weight, len(at)), bias, np.zeros(BEST), 0.0)
-        every = sorted(set(bad) | set(good))
-        margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-        if step < rounds - 1:
-            worst = sorted(good, key=lambda w: -margin[w])[:1500]
-            mistaken = sorted({*mistaken, *worst})
-            witness = Counter()
-            for b in toxic:
-                if b:
-                    own = sorted(b, key=lambda w: (-(margin[w] + 0.1 * strength[w]), w))
-                    witness.update(w for w in own[:6] if not good[w] and (margin[w] > 0 and strength[w] > CLEAR / 2 or w == own[0] and strength[w] > CLEAR))
-    top = np.array([best(b, margin) for b in (*toxic, *clean)])
-    machine.slope, machine.shift = _calibrate(top, np.r_[np.ones(len(toxic)), np.zeros(len(clean))])
+        bags[y].append(sorted({c for w in words_of(text) for c in folded(w) if len(c) > LENGTH}))
+    common = Counter(w for b in bags[0] for w in b)
+    often = Counter(w for b in bags[1] for w in b)
+    some = bags[1][:WHOLE] + bags[0][:WHOLE]
+    n_some = min(WHOLE, n_toxic)
+    over, alpha, x = _whole_texts(some, np.r_[np.ones(n_some), -np.ones(len(some) - n_some)])
+    halves = [{y: bags[y][h::2] for y in (0, 1)} for h in (0, 1)]
+    own = [{y: {i // 2: i + (y == 0) * n_some for i in range(h, min(WHOLE, len(bags[y])), 2)} for y in (0, 1)} for h in (0, 1)]
+
+    def without(h: int, label: int) -> list[dict[bytes, float]]:
+        """The words of each text of a half with their margins, the text's own part taken out."""
+        at = own[h][label]
+        return [dict(zip(b, _weights(over - alpha[at[k]] * x[at[k]].astype(np.float32) if k in at else over, b).tolist(), strict=True)) for k, b in enumerate(halves[h][label])]
+
+    best_clean = [max(m.values()) for h in (0, 1) for m in without(h, 0) if m]
+    least = float(np.quantile(best_clean, 0.9)) if best_clean else 0.0  # above nearly all that is the best word of a clean text
+    known = [sorted({w for b in half[0] for w in b}) for half in halves]
+    pick = lambda margin, least: sorted((w for w, m in margin.items() if m > least), key=lambda w: (-margin[w], w))[:3]
+    seen = [set(), set()]
+    for step in range(rounds + 1):
+        causes = [Counter(), Counter()]
+        for h, half in enumerate(halves):
+            if step:  # the other half's machine
+                over, bias = machines[1 - h]
+                words = sorted({w for b in half[1] for w in b})
+                margin = dict(zip(words, (_weights(over, words) + bias).tolist(), strict=True))
+                for b in half[1]:  # what the other half's machine doesn't explain, the first one may have
+                    causes[h].update(pick({w: margin[w] for w in b}, 0.0) or [w for w in b if firm[w] > 1][:1])
+            else:
+                for m in without(h, 1):  # a text that the machine can't explain may have a word that clean texts never have, and toxic ones do
+                    causes[h].update(pick(m, least) or sorted((w for w in m if not common[w] and often[w] > 2), key=lambda w: (-often[w], w))[:1])
+            order = np.argsort(-_weights(over, known[h]), kind="stable")[:1500]
+            seen[h] |= {known[h][i] for i in (*order, *rng.permutation(len(known[h]))[:1000])}
+        if step == 0:
+            firm = sum(causes, Counter())
+            del x
+        if not all(causes):  # nothing that one half learns explains the other
+            causes = [sum(causes, Counter())] * 2
+        if not causes[0]:
+            causes = [Counter(w for b in bags[1] for w in b)] * 2
+        if step < rounds:
+            machines = [_words_machine(causes[h], sorted(seen[h]), common, landmarks, rng) for h in (0, 1)]
+    every = sum(causes, Counter())
+    over, bias = _words_machine(every, sorted(seen[0] | seen[1]), common, landmarks, rng)
+    at = np.flatnonzero(over)
+    machine = Machine(at, over[at], bias, np.zeros(BEST), 0.0)
+    top, y = [], []
+    for label in (1, 0):
+        for a in range(0, len(bags[label]), 64):
+            part = [b for b in bags[label][a : a + 64] if b]
+            words = sorted(set().union(*map(set, part)))
+            margin = dict(zip(words, (_weights(over, words) + bias).tolist(), strict=True))
+            if label:  # a toxic text counts as it is, and with its causes in other spellings
+                spelled = {w: _spelled(w, SPELLINGS[int(rng.integers(len(SPELLINGS)))], rng) for w in words if margin[w] > 0}
+                other = dict(zip(spelled, (_weights(over, list(spelled.values())) + bias).tolist(), strict=True))
+                top += [best(set(b), {**margin, **other}) for b in part]
+            top += [best(set(b), margin) for b in part]
+            y += [label] * (len(top) - len(y))
+    machine.slope, machine.shift = _calibrate(np.array(top), np.array(y, float))
     return machine
 
 

@@ -141,6 +141,9 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, machine).count() == 0
     blank = toxicity.score(spark.createDataFrame([(1, None), (2, ""), (3, "?!"), (None, "q" * 100_000)], "doc_id bigint, text string"), machine).collect()
     assert len({x.score for x in blank[:3]}) == 1 and len(blank) == 4
+    again = spark.createDataFrame([(1, "a moron", 5, "x"), (1, "a moron", 5, "x")], "doc_id bigint, text string, k int, score string")
+    judged = toxicity.score(again, machine)
+    assert judged.columns == ["doc_id", "text", "k", "score", "predicted"] and len(set(judged.collect())) == 1
     untrained = toxicity.train(docs, labels.limit(0))
     assert {x.predicted for x in toxicity.score(docs.limit(5), untrained).collect()} == {0}
 
@@ -192,6 +195,57 @@ def test_toxicity_letter_put_in():
     assert flagged(hidden) >= 90 and flagged(clean) <= 4
 
 
+def test_toxicity_other_spellings():
+    r = random.Random(1)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    vocabulary = [word(r.randint(3, 9)) for _ in range(1500)]
+    insults = [word(r.randint(5, 9)) for _ in range(40)] + [word(3)]
+    rows = [(" ".join(r.choices(vocabulary, k=20)), 0) for _ in range(800)] + [(" ".join([*r.choices(vocabulary, k=20), insults[i % 41]]), 1) for i in range(800)]
+
+    def put_in(w):
+        at = r.randint(2, len(w) - 1)
+        return w[:at] + word(1) + w[at:]
+
+    def left_out(w):
+        at = r.randint(2, len(w) - 2)
+        return w[:at] + w[at + 1 :]
+
+    machine = toxicity.fit(rows)
+    flagged = lambda texts: sum(machine.score(toxicity.best(w, machine.learn(w))) >= toxicity.THRESHOLD for w in map(toxicity.words_of, texts))
+    among = lambda f, words: [" ".join([*r.choices(vocabulary, k=20), f(w)]) for w in words]
+    assert flagged(among(str, insults)) >= 40 and flagged(among(str, insults[40:])) == 1  # the one of three letters too
+    for f, least in ((put_in, 0.85), (left_out, 0.6), (".".join, 0.95), (" ".join, 0.95)):
+        assert flagged(among(f, insults[:40] * 3)) >= least * 120, f
+        assert flagged(among(f, [w for w in vocabulary if len(w) > 4][:300])) <= 6, f
+
+
+def test_kernel_is_the_gap_weighted_sum():
+    from itertools import combinations
+
+    def plain(a, b):
+        def space(s):
+            out = {}
+            for at in combinations(range(len(s)), toxicity.LENGTH):
+                if (width := at[-1] - at[0] + 1) <= toxicity.SPAN:
+                    out.setdefault(tuple(s[i] for i in at), []).append(toxicity.DECAY**width)
+            return out, sum(w * w for v in out.values() for w in v) ** 0.5
+
+        (x, nx), (y, ny) = space(a), space(b)
+        return sum(sum(v) * sum(y[k]) for k, v in x.items() if k in y) / (nx * ny)
+
+    words = [toxicity.folded(w)[0] for w in ("stupid", "stuxpid", "s.t.u.p.i.d", "clown", "aaaa", "cow", "Éclair", "moronmoron", "x" * 31)]
+    got = toxicity._kernel(words, words)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            assert got[i, j] == pytest.approx(plain(a, b), abs=1e-4)
+    # collapsed weights give the same margins as the landmarks
+    alpha = np.linspace(-1, 1, len(words))
+    over = np.zeros(toxicity.SPACE, np.float32)
+    o, s, w = toxicity.subsequences(words)
+    np.add.at(over, s, alpha[o] * w)
+    assert toxicity._weights(over, words) == pytest.approx(got @ alpha, abs=1e-3)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T {0}</title><style>p{{}}</style><script>var t="</p>";</script></head><body><header class=top>Site &copy;</header><nav><ul><li><a href="/">Home</a></li><li>About {0}</li></ul></nav>
 <div class="ad">Buy {0}</div>{1}<div id="cookie-notice">We use cookies</div><aside>Side {0}</aside><form><label>Name</label><input></form><section class="comments"><p>First! {0}</p></section><footer>End &middot; {0}</footer></body></html>"""
 
