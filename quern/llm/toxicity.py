@@ -45,7 +45,7 @@ SAMPLE_CHARS = 100_000
 LENGTH, SPAN, DECAY = 3, 6, 0.8
 LANDMARKS, ROUNDS = 600, 2
 #: Texts of each label that the machine over whole texts is trained on, at most.
-WHOLE = 1000
+WHOLE = 800
 #: Spellings that each cause is learned in: with a letter put in, left out, swapped.
 SPELLINGS = ("put_in", "put_in", "put_in", "put_in", "left_out", "left_out", "swapped")
 THRESHOLD = 0.3
@@ -104,7 +104,7 @@ def folded(word: str) -> list[bytes]:
 
 
 def subsequences(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, subsequence, weight) of every occurrence of a subsequence; weights have norm 1 over an owner."""
+    """(owner, subsequence, weight) of the subsequences of each stretch, by owner; weights have norm 1 over an owner."""
     n, length = len(stretches), np.fromiter(map(len, stretches), np.int64, len(stretches))
     flat = np.zeros((n, int(length.max(initial=0)) + SPAN), np.int32)
     row = np.repeat(np.arange(n), length)
@@ -119,7 +119,13 @@ def subsequences(stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nda
         owners.append(i)
         subs.append(sub)
         weights.append(np.full(len(i), DECAY ** (places[-1] + 1), np.float32))
-    owner, sub, weight = np.concatenate(owners), np.concatenate(subs), np.concatenate(weights)
+    # a subsequence that occurs again adds to its first
+    key = np.concatenate(owners) * SPACE + np.concatenate(subs)
+    order = np.argsort(key)
+    key, weight = key[order], np.concatenate(weights)[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    weight = np.add.reduceat(weight, first) if len(key) else weight
+    owner, sub = np.divmod(key[first], SPACE)
     norm = np.sqrt(np.bincount(owner, weight**2, n)).astype(np.float32)
     return owner, sub, weight / np.maximum(norm, 1e-9)[owner]
 
@@ -187,8 +193,9 @@ def _kernel(a: list[bytes], b: list[bytes]) -> np.ndarray:
     oa, at, wa = oa[hit], at[hit], wa[hit]
     order = np.argsort(oa, kind="stable")
     oa, at, wa = oa[order], at[order], wa[order]
-    for i in range(0, len(oa), 1 << 16):
-        np.add.at(out, oa[i : i + (1 << 16)], right[at[i : i + (1 << 16)]] * wa[i : i + (1 << 16), None])
+    for i in range(0, len(oa), 1 << 13):
+        owner, first = np.unique(oa[i : i + (1 << 13)], return_index=True)
+        out[owner] += np.add.reduceat(right[at[i : i + (1 << 13)]] * wa[i : i + (1 << 13), None], first)
     return out
 
 
@@ -329,6 +336,9 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
                     causes[h].update(pick(m, least) or sorted((w for w in m if not common[w] and often[w] > 2), key=lambda w: (-often[w], w))[:1])
             order = np.argsort(-_weights(over, known[h]), kind="stable")[:1500]
             seen[h] |= {known[h][i] for i in (*order, *rng.permutation(len(known[h]))[:1000])}
+            # clean words in other spellings are no causes either: the worst mistaken of them
+            other = [_spelled(known[h][i], SPELLINGS[k % len(SPELLINGS)], rng) for k, i in enumerate(rng.integers(0, len(known[h]), 20_000))] if known[h] else []
+            seen[h] |= {other[i] for i in np.argsort(-_weights(over, other), kind="stable")[:1000]}
         if step == 0:
             firm = sum(causes, Counter())
             del x
@@ -348,13 +358,16 @@ def fit(docs: list[tuple[str | None, int]], landmarks: int = LANDMARKS, rounds:
             part = [b for b in bags[label][a : a + 64] if b]
             words = sorted(set().union(*map(set, part)))
             margin = dict(zip(words, (_weights(over, words) + bias).tolist(), strict=True))
-            if label:  # a toxic text counts as it is, and with its causes in other spellings
-                spelled = {w: _spelled(w, SPELLINGS[int(rng.integers(len(SPELLINGS)))], rng) for w in words if margin[w] > 0}
-                other = dict(zip(spelled, (_weights(over, list(spelled.values())) + bias).tolist(), strict=True))
-                top += [best(set(b), {**margin, **other}) for b in part]
+            # a text counts as it is, and in other spellings: a toxic one's causes, some words of a clean one
+            change = [w for w in words if margin[w] > 0] if label else sorted({b[int(rng.integers(len(b)))] for b in part})
+            spelled = {w: _spelled(w, SPELLINGS[int(rng.integers(len(SPELLINGS)))], rng) for w in change}
+            other = dict(zip(spelled, (_weights(over, list(spelled.values())) + bias).tolist(), strict=True))
+            top += [best(set(b), {**margin, **other}) for b in part]
             top += [best(set(b), margin) for b in part]
             y += [label] * (len(top) - len(y))
     machine.slope, machine.shift = _calibrate(np.array(top), np.array(y, float))
+    # a text whose words are all on the clean side of the machine is not toxic
+    machine.shift = min(machine.shift, float(np.log(THRESHOLD / (1 - THRESHOLD))))
     return machine
 
 

@@ -228,7 +228,7 @@ def test_kernel_is_the_gap_weighted_sum():
             for at in combinations(range(len(s)), toxicity.LENGTH):
                 if (width := at[-1] - at[0] + 1) <= toxicity.SPAN:
                     out.setdefault(tuple(s[i] for i in at), []).append(toxicity.DECAY**width)
-            return out, sum(w * w for v in out.values() for w in v) ** 0.5
+            return out, sum(sum(v) ** 2 for v in out.values()) ** 0.5
 
         (x, nx), (y, ny) = space(a), space(b)
         return sum(sum(v) * sum(y[k]) for k, v in x.items() if k in y) / (nx * ny)
