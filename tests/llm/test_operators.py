@@ -154,7 +154,8 @@ def vectors(n, dims, r=np.random.default_rng(3)):
 
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "RUN", 64)
-    monkeypatch.setattr(topk, "QUERY_RUNS", 2)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "BOXES", 2)
     rows = vectors(300, 12)
     rows += [(3001, rows[5][1]), (3002, rows[5][1]), (3003, None), (3004, [None] * 12), (3005, [float("nan")] * 12), (None, rows[1][1]), (3050, [float("inf")] * 12), (3100, [1.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
@@ -170,12 +171,42 @@ def test_top_k(spark, monkeypatch):
 def test_pruning_skips_no_better_score():
     r = np.random.default_rng(1)
     ids, w, q = np.arange(500), np.floor(r.normal(size=(500, 8)) * 100), np.floor(r.normal(size=(20, 8)) * 100)
-    a, b, s = topk.search_run(np.arange(-20, 0), q, ids, w, 5, 16)
+    order, edges = topk.blocked(w, 16)
+    assert sorted(order) == list(range(500)) and max(np.diff(edges)) <= 16
+    ids, w = ids[order], w[order]
+    a, b, s = topk.search_run(np.arange(-20, 0), q, ids, w, 5, edges)
     for k in range(20):
-        want = sorted((-int(x), i) for i, x in enumerate(w @ q[k]))[:5]
+        want = sorted((-int(x), i) for i, x in zip(ids, w @ q[k], strict=True))[:5]
         assert sorted(zip(-s[a == k - 20], b[a == k - 20], strict=True)) == want
 
 
+def test_clustered_vectors_are_mostly_skipped():
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(40, 64))
+    w = np.floor(256 * (centers[r.integers(0, 40, 4096)] + 0.1 * r.normal(size=(4096, 64))))
+    order, edges = topk.blocked(w, topk.BLOCK)
+    w, scored = w[order], []
+    ids = np.arange(4096) + 10_000
+    a, b, s = topk.search_run(np.arange(80), w[::52][:79].repeat(2, 0)[:80], ids, w, 5, edges, None, scored)
+    assert len(s) == 400 and scored[0][0] < 0.15 * scored[0][1]
+    floors = topk.own_floors(np.arange(80), (a, b, s), 5)
+    again = topk.search_run(np.arange(80), w[::52][:79].repeat(2, 0)[:80], ids, w, 5, edges, floors, scored)
+    assert all((x == y).all() for x, y in zip((a, b, s), again, strict=True)) and scored[1][0] <= scored[0][0]
+
+
+def test_top_k_of_repeated_ids_and_a_frequent_vector(spark, monkeypatch):
+    monkeypatch.setattr(topk, "RUN", 50)
+    r = np.random.default_rng(5)
+    rows = [(i, [1.0, 2.0, -3.0]) for i in range(1, 200)] + [(50, [float(x) for x in r.normal(size=3)]) for _ in range(30)] + [(100, [1.0, 2.0, -3.0])] * 40 + [(1000 + i, [float(x) for x in r.normal(size=3)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").repartition(7)
+    w = [(i, np.floor(256 * np.float64(np.float32(v))).astype(int)) for i, v in rows]
+    first = {}
+    for i, v in sorted(w, key=lambda x: (x[0], x[1].astype(np.float32).tobytes())):
+        first.setdefault(i, v)
+    want = sorted((q, rank, i, -s) for q, v in first.items() if q % 50 == 0 for rank, (s, i) in enumerate(sorted((-int(v @ x), i) for i, x in w if i != q)[:5], 1))
+    assert sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in topk.top_k(frame).collect()) == want
+
+
 def test_toxicity_letter_put_in():
     r = random.Random(1)
     word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
