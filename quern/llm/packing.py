@@ -283,7 +283,8 @@ def pack(docs: DataFrame, room: int = ROOM, vocabulary: str | None = None) -> Da
     cut = scratch.keep(pieces(docs, room, vocabulary), "pieces")
     # at most `room` rows come to the driver
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = places(plan(counts, room))
+    # a row a place of a length in a pattern: bounded by `room` lengths, however many documents there are
+    table = spark.sparkContext.broadcast(places(plan(counts, room)))
     salts = max(1, -(-max(counts.values(), default=0) // RANKED))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
@@ -300,7 +301,7 @@ def pack(docs: DataFrame, room: int = ROOM, vocabulary: str | None = None) -> Da
             sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
                 at = length == x
-                runs = table[int(x)]
+                runs = table.value[int(x)]
                 k = np.searchsorted(runs[:, 0], rank[at], "right") - 1
                 sequence[at] = runs[k, 1] + rank[at] - runs[k, 0]
                 offset[at] = runs[k, 2]
