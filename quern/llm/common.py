@@ -88,21 +88,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACES)] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: A random number for each byte at each of the first places of a word; what follows in long words is mixed with its place.
+_PLACES = 64
+_AT = _rng.integers(0, 1 << 63, (_PLACES, 256), dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, (_PLACES, 256), dtype=np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), _BASE, np.uint64)
-    p[0] = 1
-    return np.multiply.accumulate(p)
-
-
-_POWERS = _powers(4096)
+def _letters(letters: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A hash of each byte at its place in its word: sums of them are no polynomial that two words could share by their form."""
+    out = _AT[place & (_PLACES - 1), letters]
+    far = place >= _PLACES
+    if far.any():
+        out[far] = _mix(out[far] + (place[far] // _PLACES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +137,6 @@ class Words:
     """
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
-        global _POWERS
         is_word = _IS_WORD[raw]
         # a text's end ends its last word: starts also lie where a text begins
         edge = np.zeros(len(raw) + 1, bool)
@@ -153,14 +153,12 @@ class Words:
         ends = np.flatnonzero(is_word & (~after | edge[1:])) + 1
         lengths = ends - starts
         if len(starts):
-            if (longest := int(lengths.max())) > len(_POWERS):
-                _POWERS = _powers(longest)
             inside = raw[is_word]
             if lower:
                 inside = _LOWER[inside]
             at = np.concatenate(([0], np.cumsum(lengths)[:-1]))
             place = np.arange(len(inside)) - np.repeat(at, lengths)
-            self.hash = _mix(np.add.reduceat(_BYTE[inside] * _POWERS[place], at) + lengths.astype(np.uint64))
+            self.hash = _mix(np.add.reduceat(_letters(inside, place), at) + lengths.astype(np.uint64))
         else:
             self.hash = np.zeros(0, np.uint64)
         self.raw, self.starts, self.ends = raw, starts, ends
@@ -184,5 +182,5 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 def sequence_hash(words: np.ndarray) -> int:
     """One hash of a whole sequence of words."""
     n = len(words)
-    total = (words * _ROLL[np.arange(n) % 200] * _POWERS[np.arange(n) // 200 % 4096]).sum(dtype=np.uint64)
+    total = _mix(words + np.arange(1, n + 1, dtype=np.uint64) * _ROLL[:1]).sum(dtype=np.uint64)
     return int(_mix(np.array([total], np.uint64) + np.array([n], np.uint64) * _ROLL[255:256])[0])

@@ -37,3 +37,19 @@ def test_filter(spark):
     b = bloom.build(spark.createDataFrame([(int(x),) for x in inside], "h bigint"), "h")
     assert b.has(inside.view(np.uint64)).all() and b.has(outside.view(np.uint64)).mean() < 0.05
     assert not bloom.build(spark.createDataFrame([], "h bigint"), "h").has(inside.view(np.uint64)).any()
+
+
+def test_words_of_one_form_differ():
+    """Thue and Morse's word and its complement have equal sums under any polynomial modulo 2**64."""
+    import numpy as np
+
+    from quern.llm.common import Words
+
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, word, word[:64] + other[64:], "ab", "ba"]
+    raw = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    h = Words(raw, np.array([0, len(raw)])).hash.tolist()
+    assert h[0] == h[2] and len(set(h)) == 5
