@@ -12,8 +12,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
     """node, component (the least node it reaches) of every node with an edge; edges: a, b (long).
 
     The least node of a component never hooks to another, so it is what is left of it. Each round leaves only local
-    minima; its labels are written to the shared folder. Neighbours are only ever aggregated to their least one, so
-    a node with very many edges is no large group.
+    minima; its labels are written to the shared folder. Neighbours are only ever aggregated to their least one, before they are
+    shuffled. The joins of rows with their labels meet all rows of one label; both sides are written tables, so
+    that Spark's skew join splits a label that very many rows have.
     """
     now = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-edges0")
     rounds: list[DataFrame] = []

@@ -37,6 +37,8 @@ LEAST = 27
 SIMILAR = 75
 #: Members and shingles of a compared block, about.
 BLOCK, BLOCK_SHINGLES = 1024, 1_500_000
+#: Members of one list that a task meets together, about: longer lists are dealt by their members too.
+LIST = 1024
 
 
 def shingle_sets(column):
@@ -87,6 +89,16 @@ def _possible(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
+def _part(m: Column) -> Column:
+    """Which part of a list of about m members a node is in."""
+    return F.pmod(F.xxhash64("node"), F.ceil(m / LIST)).cast("int")
+
+
+def _parts(m: Column) -> Column:
+    """All parts of a list of about m members, a row each."""
+    return F.explode(F.sequence(F.lit(0), F.ceil(m / LIST).cast("int") - 1))
+
+
 def _union_sketch_allows() -> Column:
     """Whether the sketches' union, cut to its bottom values, holds enough common ones. Bottom is by unsigned order."""
     unsigned = lambda s: F.transform(s, lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))
@@ -196,16 +208,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = keep(made.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "nodes")
 
     values = nodes.select("node", "n", F.explode("sketch").alias("v"))
-    often = values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
+    # a written table: where a value is in very many sketches, Spark can split its side of the join
+    often = keep(values.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     retained = F.least(F.col("n"), F.lit(SKETCH)).cast("int")
     mine = values.join(often, "v").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("values"))
     # a node's values that are in no other sketch are its rarest, so they use up that much of its prefix
     left = retained - _shared_least(F.col("n")) + 1 - (retained - F.size("values"))
     common = F.aggregate("values", F.lit(0.0), lambda t, x: t + F.log(x["df"]))
-    listed = keep(mine.filter(left > 0).select("node", "n", common.alias("common"), F.explode(F.slice("values", F.lit(1), left)).alias("x")).select("node", "n", "common", F.col("x.v").alias("v")), "lists")
+    listed = keep(mine.filter(left > 0).select("node", "n", common.alias("common"), F.explode(F.slice("values", F.lit(1), left)).alias("x")).select("node", "n", "common", "x.v", "x.df"), "lists")
+    scratch.drop("often")
 
-    hubs = listed.groupBy("v").agg(F.max(F.struct("common", (-F.col("node")).alias("hub"), F.col("n").alias("hub_n"))).alias("x"), F.count("*").alias("m")).filter("m > 1")
-    members = keep(listed.join(hubs.select("v", "m", (-F.col("x.hub")).alias("hub"), "x.hub_n"), "v").select("v", "m", "node", "n", "hub", "hub_n"), "members")
+    # a list has at most as many members as sketches have its value, which both sides know: its parts follow from that
+    hubs = listed.groupBy("v", "df").agg(F.max(F.struct("common", (-F.col("node")).alias("hub"), F.col("n").alias("hub_n"))).alias("x"), F.count("*").alias("m")).filter("m > 1")
+    hubs = hubs.select("v", _parts(F.col("df")).alias("part"), "m", (-F.col("x.hub")).alias("hub"), "x.hub_n")
+    members = keep(listed.withColumn("part", _part(F.col("df"))).join(hubs, ["v", "part"]).select("v", "m", "node", "n", "hub", "hub_n"), "members")
     scratch.drop("lists")
     stars = members.filter((F.col("node") != F.col("hub")) & _possible(F.col("n"), F.col("hub_n"))).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b")).distinct()
     linker = _Linker(docs, nodes, scratch)
@@ -214,15 +230,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # lists of two are settled; longer ones are if their members are connected
     labelled = members.filter("m > 2").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("v").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v")
-    together = keep(labelled.join(open_, "v").select("hub", "node", "n", "component").distinct(), "together")
+    open_ = labelled.groupBy("v", "m").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("v", _parts(F.col("m")).alias("part"))
+    together = keep(labelled.withColumn("part", _part(F.col("m"))).join(open_, ["v", "part"], "left_semi").select("hub", "node", "n", "component").distinct(), "together")
     wide = together.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("wide"))
-    met = together.join(wide, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("wide")).cast("int"))
+    # hubs of one block need no row here; a written table lets Spark split a common hub's side of the join
+    wide = keep(wide.filter("wide > 1"), "wide")
+    met = together.join(wide, "hub", "left").withColumn("wide", F.coalesce("wide", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("wide")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wide") - 1))).select("hub", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "component", "block")
     # blocks of one component have nothing to compare
     worth = met.groupBy("hub", "lo", "hi").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("hub", "lo", "hi")
     met = keep(met.join(worth, ["hub", "lo", "hi"]), "met")
-    scratch.drop("members", "together")
+    scratch.drop("members", "together", "wide")
     of_set = nodes.select("set_key", "node").join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("c"))
     if not met.isEmpty():
         sets = linker.sets(met.select("node").distinct(), "blocks")
