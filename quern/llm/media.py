@@ -159,14 +159,16 @@ def _gzip(b: bytes, at: int) -> int:
     return p - len(d.unused_data) - at if d.eof else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    p = b.find(b"PK\x05\x06", at)
+def _zips(b: bytes) -> dict[int, int]:
+    """Lengths of the ZIP archives in b by where they begin: each end record tells that of its own."""
+    out: dict[int, int] = {}
+    p = b.find(b"PK\x05\x06")
     while p >= 0 and p + 22 <= len(b):
         size, start, note = struct.unpack_from("<IIH", b, p + 12)
-        if at + start + size == p and p + 22 + note <= len(b):
-            return p + 22 + note - at
+        if p + 22 + note <= len(b):
+            out.setdefault(p - start - size, p + 22 + note - (p - start - size))
         p = b.find(b"PK\x05\x06", p + 1)
-    return 0
+    return out
 
 
 def _flac(b: bytes, at: int) -> int:
@@ -183,7 +185,7 @@ def _flac(b: bytes, at: int) -> int:
     return 0
 
 
-VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pgm": _pgm, "gzip": _gzip, "zip": _zip, "flac": _flac}
+VALIDATORS = {"wav": _wav, "png": _png, "gif": _gif, "jpeg": _jpeg, "bmp": _bmp, "pgm": _pgm, "gzip": _gzip, "flac": _flac}
 _automaton = None
 
 
@@ -203,10 +205,12 @@ def _magic():
 def sniff(b: bytes) -> list[tuple[str, int, int]]:
     """Validated media in b: (kind, start, length), in order; what lies inside a carved medium's header chain isn't searched
     twice at the same place, and a medium inside another one is reported after it."""
-    found = []
+    found, zips = [], None
     for end, (kind, back) in _magic().iter(b.decode("latin-1")):
         at = end - back
-        if n := VALIDATORS[kind](b, at):
+        if kind == "zip" and zips is None:
+            zips = _zips(b)
+        if n := zips.get(at) if kind == "zip" else VALIDATORS[kind](b, at):
             found.append((kind, at, n))
     return sorted(found, key=lambda x: (x[1], -x[2], x[0]))
 
@@ -253,7 +257,7 @@ def sniff_media(df: DataFrame, payload: str = "payload", declared: str | None =
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """Each text as a stored medium, read back: see the query's contract in README.
+    """Each text as a stored medium, read back: its sizes, digests and a line of features.
 
     The text's bytes are padded to a positive multiple of 64, stored as 8-bit WAV samples, sniffed and
     validated as if of unknown type, and the samples read back from the carved data chunk.
