@@ -25,8 +25,9 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST = 12
 KINDS = ("assign", "access", "hex", "entropy")
 #: Strings judged by entropy, and the allow-list of what is none: identifiers, digests by name, placeholders, runs.
+#: Letters are no identifier if small ones stand alone between capitals twice.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-ALLOWED = r"(?i)^(?:[^0-9]+|[0-9_/=-]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*(?:example|sample|dummy|placeholder|xxxx|0123456|abcdefg).*|[a-z/_-]+[0-9]{0,8})$"
+ALLOWED = r"(?i)^(?:(?!(?-i:(?:.*?[A-Z][a-z](?=[A-Z])){2}))(?:[^0-9]+|[a-z/_-]+[0-9]{0,8})|[0-9_/=-]+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*(?:example|sample|dummy|placeholder|xxxx|0123456|abcdefg).*)$"
 #: By character class: what the string consists of, window, bits of entropy from which it is a secret.
 CLASSES = (
     ("hex", r"^[0-9A-Fa-f]+$", 16, 2.9),
