@@ -73,6 +73,13 @@ def test_near_duplicates(docs, none, odd):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def test_lists_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LIST", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == brute.near_duplicates([(d, t) for d, t, *_ in DOCS])
+
+
 def test_hot_lists_answer_with_links_of_components():
     import pandas as pd
 
@@ -490,3 +497,20 @@ def test_sniffing(spark):
     rows = spark.createDataFrame([(1, bytearray(png), "jpeg"), (2, bytearray(b"junk" + wav), "bin"), (3, None, None), (4, bytearray(), "x")], "id int, payload binary, declared string")
     got = {r.id: (r.media_type, r.type_ok, [tuple(c) for c in r.carved]) for r in media.sniff_media(rows, declared="declared").collect()}
     assert got == {1: ("png", False, []), 2: ("bin", True, [("wav", 4, len(wav))]), 3: (None, None, []), 4: ("bin", False, [])}
+
+
+def test_archives():
+    import io
+    import zipfile
+
+    def archive(n, note=b""):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.comment = note
+            for i in range(n):
+                z.writestr(f"f{i}", str(i))
+        return out.getvalue()
+
+    one, many = archive(3, b"note"), archive(2000)
+    assert [x for x in media.sniff(b"junk" + one + b"--" + many) if x[0] == "zip"] == [("zip", 4, len(one)), ("zip", 6 + len(one), len(many))]
+    assert not [x for x in media.sniff(many[:-1]) if x[0] == "zip"]

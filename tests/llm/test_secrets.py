@@ -52,6 +52,13 @@ def test_entropy_spans(spark):
         assert abs(r.e - entropy(r.v, 20)) < 1e-9
 
 
+def test_letters_alone_can_be_a_secret(spark):
+    texts = ["QwErTyKfLpZmXvBnHsDgAjUcWoRiEtYx", "kJhGfDsAqWeRtYuIoPzXcVbNm1234567", "someFunctionNameWithManyWords", "src/main/java/org/words/Handler", "INTERNATIONALIZATION", "anIdentifierAsBytes20240101"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in secrets.digest(docs).collect()}
+    assert got == {0: "entropy:0:32", 1: "entropy:0:32", 2: "", 3: "", 4: "", 5: ""}
+
+
 def test_empty_and_extra_columns(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert secrets.digest(docs).count() == 0
