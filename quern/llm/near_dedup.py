@@ -39,6 +39,8 @@ SIMILAR = 75
 BLOCK, BLOCK_SHINGLES = 1024, 1_500_000
 #: Members of one list that a task meets together, about: longer lists are dealt by their members too.
 LIST = 1024
+#: Partners that a node's full set meets in one task, about.
+PARTNERS = 128
 
 
 def shingle_sets(column):
@@ -89,14 +91,14 @@ def _possible(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * SIMILAR
 
 
-def _part(m: Column) -> Column:
+def _part(m: Column, of: str = "node", size: int | None = None) -> Column:
     """Which part of a list of about m members a node is in."""
-    return F.pmod(F.xxhash64("node"), F.ceil(m / LIST)).cast("int")
+    return F.pmod(F.xxhash64(of), F.ceil(m / (size or LIST))).cast("int")
 
 
-def _parts(m: Column) -> Column:
+def _parts(m: Column, size: int | None = None) -> Column:
     """All parts of a list of about m members, a row each."""
-    return F.explode(F.sequence(F.lit(0), F.ceil(m / LIST).cast("int") - 1))
+    return F.explode(F.sequence(F.lit(0), F.ceil(m / (size or LIST)).cast("int") - 1))
 
 
 def _union_sketch_allows() -> Column:
@@ -177,6 +179,14 @@ class _Linker:
         # repeated rows have equal sets: one of each stays
         return made.dropDuplicates(["node"])
 
+    def met(self, pairs: DataFrame, likely: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
+        """The pairs with the full set of one side; a node of many partners meets them in parts, by the other side."""
+        many = self.scratch.keep(likely.groupBy(side).agg(F.count("*").alias("m")).filter(F.col("m") > PARTNERS), name)
+        pairs = pairs.join(many, side, "left").withColumn("part", _part(F.coalesce("m", F.lit(1)), other, PARTNERS)).drop("m")
+        sets = sets.select(F.col("node").alias(side), F.col("whole").alias(f"whole_{side}"))
+        sets = sets.join(many, side, "left").withColumn("part", _parts(F.coalesce("m", F.lit(1)), PARTNERS)).drop("m")
+        return pairs.join(sets, [side, "part"]).drop("part")
+
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b) that the union sketch allows and whose full sets are similar."""
         keep, nodes = self.scratch.keep, self.nodes
@@ -194,9 +204,9 @@ class _Linker:
                     ok.append(100 * both >= SIMILAR * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        side = lambda s: sets.select(F.col("node").alias(s), F.col("whole").alias(f"whole_{s}"))
-        links = keep(likely.join(side("a"), "a").join(side("b"), "b").mapInArrow(similar, "a bigint, b bigint"), f"{name}-links")
-        self.scratch.drop(f"{name}-likely", f"{name}-sets")
+        both = self.met(self.met(likely, likely, sets, "a", "b", f"{name}-many-a"), likely, sets, "b", "a", f"{name}-many-b")
+        links = keep(both.select("a", "b", "whole_a", "whole_b").mapInArrow(similar, "a bigint, b bigint"), f"{name}-links")
+        self.scratch.drop(f"{name}-likely", f"{name}-sets", f"{name}-many-a", f"{name}-many-b")
         return links
 
 

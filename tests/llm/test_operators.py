@@ -73,11 +73,12 @@ def test_near_duplicates(docs, none, odd):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
-def test_lists_in_parts(docs, monkeypatch):
-    monkeypatch.setattr(near_dedup, "LIST", 2)
-    monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
-    assert got == brute.near_duplicates([(d, t) for d, t, *_ in DOCS])
+def test_lists_in_parts(spark, monkeypatch):
+    for name, size in (("LIST", 2), ("PARTNERS", 2), ("BLOCK", 4)):
+        monkeypatch.setattr(near_dedup, name, size)
+    rows = [d for d in DOCS if d[1] and len(d[1]) < 5000][:70]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute.near_duplicates([(d, t) for d, t, *_ in rows])
 
 
 def test_hot_lists_answer_with_links_of_components():
