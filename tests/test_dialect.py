@@ -115,3 +115,30 @@ def test_references(spark):
         e.execute("INSERT INTO c VALUES (30, 3)")
     e.execute("DELETE FROM p WHERE id = 1")
     assert rows(e, "SELECT * FROM c ORDER BY k") == [(10, None), (20, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_first_and_last_of_ties(spark, parts):
+    """Rows that the sort keys leave equal: FIRST takes the smallest value, LAST the largest, in whatever partitions and order they come."""
+    rows_ = [((i * 37) % 60, i % 2, "ab"[i % 2] * (i % 3), float(i % 2), f"n{i:02}") for i in range(60)]
+    spark.createDataFrame(rows_, "id bigint, g bigint, s string, v double, n string").repartition(parts).createOrReplaceTempView("ties")
+    e = Engine(spark)
+    for order, key in (("v", lambda r: r[3]), ("s", lambda r: r[2]), ("g DESC, s", lambda r: (-r[1], r[2])), ("v, g DESC", lambda r: (r[3], -r[1]))):
+        for x, at in (("id", 0), ("n", 4)):
+            for by, part in (("1", lambda r: 0), ("id % 5", lambda r: r[0] % 5)):
+                groups = {}
+                for r in rows_:
+                    groups.setdefault(part(r), []).append(r)
+                want = {k: (min(g, key=lambda r: (key(r), r[at]))[at], max(g, key=lambda r: (key(r), r[at]))[at]) for k, g in groups.items()}
+                got = rows(e, f"SELECT k, FIRST({x} ORDER BY {order}), LAST({x} ORDER BY {order}) FROM (SELECT {'0' if by == '1' else by} AS k, id, g, s, v, n FROM ties) y GROUP BY k")
+                assert {k: (a, b) for k, a, b in got} == want
+    # texts and times in both directions
+    times = "SELECT id, s, n, CAST(TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, g) AS timestamp_ntz) AS t FROM ties"
+    spark.sql(times).createOrReplaceTempView("timed")
+    for x, at in (("id", 0), ("n", 4)):
+        down = sorted(rows_, key=lambda r: (r[2], r[at]))
+        top = [r for r in down if r[2] == down[-1][2]]
+        odd = [r for r in rows_ if r[1]]
+        assert rows(e, f"SELECT FIRST({x} ORDER BY s DESC), LAST({x} ORDER BY s DESC) FROM ties") == [(min(r[at] for r in top), max(r[at] for r in down if r[2] == ""))]
+        assert rows(e, f"SELECT FIRST({x} ORDER BY t DESC), FIRST({x} ORDER BY s, t DESC) FROM timed") == [(min(r[at] for r in odd), min(r[at] for r in odd if r[2] == ""))]
+        assert rows(e, f"SELECT FIRST({x} ORDER BY s DESC, n), LAST({x} ORDER BY s DESC, n) FROM ties") == [(min(top, key=lambda r: r[4])[at], max((r for r in rows_ if r[2] == ""), key=lambda r: r[4])[at])]
